@@ -18,7 +18,8 @@ SALTS = 16
 
 
 def _keyed(df: DataFrame, identity: Column) -> DataFrame:
-    return df.withColumn(ID, identity)
+    """``df`` with its identity; columns under the operator's own names are replaced."""
+    return df.drop(ID, N, SALT, "_msg_rank").withColumn(ID, identity)
 
 
 def _repeated(keyed: DataFrame) -> DataFrame:

@@ -121,6 +121,9 @@ def ledger(
     alone; ties of recorded time go by ``order``, then by the values. Observations without entity, valid
     or recorded time are void. Repeated and unchanged observations add nothing.
     """
+    longs = ("slice", "valid_from_us", "valid_to_us", "recorded_from_us", "recorded_to_us")
+    if clash := {"entity", *longs} & set(fields):
+        raise ValueError(f"fields must not be called {', '.join(sorted(clash))}")
     fs = [f"f{i}" for i in range(len(fields))]
     base = observations.select(
         F.col(entity).cast("string").alias("entity"),
@@ -136,7 +139,6 @@ def ledger(
         .sortWithinPartitions("entity", "slice", "recorded", "seq", *fs)
         .select("entity", "slice", "valid", "recorded", *fs)
     )
-    longs = ("slice", "valid_from_us", "valid_to_us", "recorded_from_us", "recorded_to_us")
     schema = T.StructType(
         [T.StructField("entity", T.StringType())]
         + [T.StructField(c, T.LongType()) for c in longs]

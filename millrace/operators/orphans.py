@@ -42,7 +42,7 @@ def direct_orphans(references: DataFrame, known: DataFrame) -> DataFrame:
     ``references`` has (ref_table, ref_value, day); null values refer to nothing. ``known`` has (ref_table,
     ref_value, since, until). References are made distinct (partly before the shuffle) before the join.
     """
-    asked = references.dropna().distinct()
+    asked = references.select("ref_table", "ref_value", "day").dropna().distinct()
     r, k = asked.alias("r"), known.alias("k")
     on = (
         (F.col("r.ref_table") == F.col("k.ref_table"))
