@@ -95,18 +95,19 @@ PROTECTED = "|".join(
         r"(?:https?|ftp)://\S*[^\s.,;:!?…。！？\"'”’»)\]}>*_]",
         _QUOTES,
         _BRACKETS,
-        rf"{_W}(?:{PARTS})",
-        rf"{_W}(?:{_any(' '.join(ALWAYS.values()))})\.(?=\s)",
+        # What follows a look ahead is tried at few places only: long lists cost nothing elsewhere.
+        rf"(?=\p{{L}}{{1,2}}\.){_W}(?:{PARTS})",
+        rf"(?=[\p{{L}}\p{{M}}-]{{1,9}}\.\s){_W}(?:{_any(' '.join(ALWAYS.values()))})\.",
         # The title M. and initials, also joined ones; a label such as "site C." is none.
-        rf"(?<!\b(?:{_any(LABELS)}) ){_W}(?<![.°])(?:\p{{Lu}}\.[ -]?)+(?=\s*\p{{Lu}}\p{{L}})",
+        rf"(?=\p{{Lu}}\.){_W}(?<![.°])(?<!\b(?:{_any(LABELS)}) )(?:\p{{Lu}}\.[ -]?)+(?=\s*\p{{Lu}}\p{{L}})",
         # Single Arabic letters and anything Ethiopic before a full stop are abbreviations.
-        r"(?<![\p{L}\p{M}])[ء-ي]\.(?=\s)",
-        r"(?<=[ሀ-፿])\.",
+        r"[ء-ي]\.(?=\s)(?<![\p{L}\p{M}][ء-ي]\.)",
+        r"\.(?<=[ሀ-፿]\.)",
         # German ordinals.
-        rf"{_W}\d{{1,2}}\.(?=\s+(?:{_any(ORDINAL_NOUNS)}))",
-        r"(?<=\b(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Zz]ur|[Dd]er|[Dd]en|[Dd]em|[Dd]es|[Dd]ie|[Dd]as|\d\. und) )\d{1,2}\.(?=\s+\p{Lu})",
+        rf"(?=\d{{1,2}}\.\s){_W}\d{{1,2}}\.(?=\s+(?:{_any(ORDINAL_NOUNS)}))",
+        r"(?=\d{1,2}\.\s)(?<=\b(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Zz]ur|[Dd]er|[Dd]en|[Dd]em|[Dd]es|[Dd]ie|[Dd]as|\d\. und) )\d{1,2}\.(?=\s+\p{Lu})",
         # A sole word before an ellipsis and a number goes on.
-        r"(?:^\s*|(?<=[.!?…。！？][^\p{L}]{0,6}))\p{Lu}\p{L}* ?(?:\.{3}|…)(?=\s+\d)",
+        r"(?=\p{Lu})(?<=^\s{0,4}|[.!?…。！？][^\p{L}]{0,6})\p{Lu}\p{L}* ?(?:\.{3}|…)(?=\s+\d)",
     )
 )
 
@@ -115,13 +116,13 @@ _CLOSE = r"(?:[\"'”’»›)\]}*_]|\[\d{1,3}\])*+"
 _SMALL = rf"(?:{_any(SMALL)})\b|(?:next|so|then|now|also) (?:i|we|this|that|it)\b|i (?:\p{{Ll}}|'m)"
 _NEW = rf"(?=\s)(?:(?!\s+{_OPEN}\p{{Ll}})|(?=\s+{_OPEN}(?:{_SMALL})))"
 #: Cased scripts and those that use the same stops: a blank and no small letter follow.
-STOPS = rf"(?:[.!?…]|(?<=\s)\.{{3}})+{_CLOSE}{_NEW}"
+STOPS = rf"[.!?…]++{_CLOSE}{_NEW}"
 _CJK = r"぀-ヿ㐀-鿿豈-﫿"
 #: Stops that need no blank after them.
 FULL = r"[。！？．｡؟۔।॥።፧։။]+[!?]*+(?:[」』”’）】》〉)\]*_]|\[\d{1,3}\])*+(?=.)"
 MIXED = rf"(?<=[{_CJK}])[!?]+(?:[」』”’）】》〉)\]*_]|\[\d{{1,3}}\])*+(?=\S)"
-GREEK = rf"(?<=[Ͱ-Ͽἀ-῿][^.!?;]{{0,60}});{_CLOSE}{_NEW}"
-THAI = r"(?<=[฀-๿])[  ]+(?=[฀-๿])"
+GREEK = rf";(?<=[Ͱ-Ͽἀ-῿][^.!?;]{{0,60}};){_CLOSE}{_NEW}"
+THAI = r"(?<=[฀-๿])[ \u00a0]+(?=[฀-๿])"
 #: A bracket that is a unit of its own: it opens after a border and closes after a stop.
 OWN_BRACKET = (
     rf"((?:^|{BORDER}|(?<={BRACKET_END}))\s*[*_]*[(（\[][^{BORDER}{BRACKET_END}]*){BRACKET_END}"
@@ -152,7 +153,7 @@ def _masked(block: Column) -> Column:
     """``block`` with line breaks as blanks and the terminators of protected spans masked."""
     line = F.translate(block, "\r\n", "  ")
     spans = F.split(F.regexp_replace(line, PROTECTED, f"{SPAN}$0{SPAN}"), SPAN, -1)
-    ended = r"[.!?…。！？．｡؟۔।॥።፧][   ]*"
+    ended = r"[.!?…。！？．｡؟۔।॥።፧][ \u00a0\u202f]*"
 
     def mask(part: Column, i: Column) -> Column:
         closing = F.when(part.rlike(ended + r"[)）\]】]$"), BRACKET_END).when(
