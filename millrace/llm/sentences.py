@@ -107,7 +107,7 @@ PROTECTED = "|".join(
         rf"(?=\d{{1,2}}\.\s){_W}\d{{1,2}}\.(?=\s+(?:{_any(ORDINAL_NOUNS)}))",
         r"(?=\d{1,2}\.\s)(?<=\b(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Zz]ur|[Dd]er|[Dd]en|[Dd]em|[Dd]es|[Dd]ie|[Dd]as|\d\. und) )\d{1,2}\.(?=\s+\p{Lu})",
         # A sole word before an ellipsis and a number goes on.
-        r"(?=\p{Lu})(?<=^\s{0,4}|[.!?…。！？][^\p{L}]{0,6})\p{Lu}\p{L}* ?(?:\.{3}|…)(?=\s+\d)",
+        r"(?=\p{Lu})(?<=^[\s*_]{0,6}|[.!?…。！？][^\p{L}]{0,6})\p{Lu}\p{L}* ?(?:\.{3}|…)(?=\s+\d)",
     )
 )
 

@@ -20,7 +20,7 @@ def units(spark, texts):
 WHOLE = [
     ["Dr. Gor met Mr. and Mrs. Ken.", "They left at 5 p.m.", "It rained, i.e. a lot, until 7 a.m. Sunday.", "See Fig. 3 and Sec. 4.16 for more."],
     ["V. A. Ritosk of Luel Inc. sent it.", "Compare site B vs. site C.", "The value is .05, not .3.", "Ver. 16 (a.k.a. v1.2.3) is gone."],
-    ["Wait ... 21 rows?", "Well ... the plot is fine.", "Nothing changed ...", "Then it did…", "The flow stays below 2 °C… mostly."],
+    ["**Wait ... 9 rows?**", "Wait ... 21 rows?", "Well ... the plot is fine.", "Nothing changed ...", "Then it did…", "The flow stays below 2 °C… mostly."],
     ['The log said: "Run failed. Restart the kernel!" and nothing else.', '"Is it stable?" asked Dana.', 'She wrote: "Fine. Ship it."', "Next."],
     ["The curve (it starts at 2.78. No, at 14.77!) looks flat.", "(The plan was rebuilt in 2009.)", "pandas reads it.", "next i drop it.", "so this works now."],
     ["**It is `a.b()` here.**", "`df.head()` shows that.[3]", "The answer was 'no.'", "The package Bang! prints 3 rows.", "See https://x.example/v1.2/run?id=10 for now.", "Is it?!", "No"],
