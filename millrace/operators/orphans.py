@@ -1,33 +1,46 @@
 """References to records that do not exist, directly or through orphaned parents.
 
 ``known_periods`` turns loads and removals of a table into the periods in which each of its keys
-existed; ``direct_orphans`` finds references made outside them. ``cascade`` follows a graph of foreign
-keys to its fixpoint: records whose parent record is orphaned are orphans too, reported as inherited.
+existed, ``links`` reduces the references of a table to distinct ones with their number, and ``cascade``
+follows the graph of foreign keys to its fixpoint: a reference made outside every period of its key is
+a direct orphan, and one that names a record which is itself an orphan is an inherited one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.keys import reference
 from millrace.session import cut
 
+LINK = ["child_table", "parent_table", "ref_value", "own_key", "day"]
 
-def known_periods(loads: DataFrame, removals: DataFrame) -> DataFrame:
+
+@dataclass(frozen=True)
+class ForeignKey:
+    """``child``.``column`` names a ``parent`` record by ``key``."""
+
+    child: str
+    column: str
+    parent: str
+    key: str
+
+
+def known_periods(loads: DataFrame, removals: DataFrame | None = None) -> DataFrame:
     """Periods [since, until) in which a key is known; ``until`` null: to this day.
 
     ``loads`` has (ref_value, day) and ``removals`` (ref_value, day). A load counts from its day on, up to
     the first removal on that day or later; a load on the day of a removal is removed with it. Null keys
-    and days count for nothing. Reference tables and removals are reduced to distinct days first.
+    and days count for nothing. Both are reduced to distinct days first.
     """
-    both = (
-        loads.select("ref_value", "day", F.lit(0).alias("gone"))
-        .unionByName(removals.select("ref_value", "day", F.lit(1).alias("gone")))
-        .dropna()
-        .distinct()
-    )
+    both = loads.select("ref_value", "day", F.lit(0).alias("gone"))
+    if removals is not None:
+        both = both.unionByName(removals.select("ref_value", "day", F.lit(1).alias("gone")))
+    both = both.dropna().distinct()
     ahead = Window.partitionBy("ref_value").orderBy("day", "gone").rowsBetween(0, Window.unboundedFollowing)
     removed = F.min(F.when(F.col("gone") == 1, F.col("day"))).over(ahead)
     spans = both.withColumn("until", removed).filter(F.col("gone") == 0)
@@ -36,82 +49,83 @@ def known_periods(loads: DataFrame, removals: DataFrame) -> DataFrame:
     return spans.groupBy("ref_value", "until").agg(F.min("day").alias("since"))
 
 
-def direct_orphans(references: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct (ref_table, ref_value, day) of ``references`` outside every period of ``known``.
+def links(
+    df: DataFrame, child: str, graph: list[ForeignKey], day: Column, compare: Callable[[Column], Column] = reference
+) -> DataFrame:
+    """The distinct references of table ``child`` by LINK, with their number ``n``.
 
-    ``references`` has (ref_table, ref_value, day); null values refer to nothing. ``known`` has (ref_table,
-    ref_value, since, until). References are made distinct (partly before the shuffle) before the join.
+    Keys are compared by ``compare``; null of it refers to nothing. ``own_key`` is the key by which other
+    tables of the graph name this one's records, null where none does, so that a table at the end
+    of the graph is reduced to its distinct references before anything moves. Values are reduced as
+    they are written first, and compared after: there are far fewer of them than rows. References
+    without day are left out.
     """
-    asked = references.select("ref_table", "ref_value", "day").dropna().distinct()
-    r, k = asked.alias("r"), known.alias("k")
-    on = (
-        (F.col("r.ref_table") == F.col("k.ref_table"))
+    out = [e for e in graph if e.child == child]
+    named = [e.key for e in graph if e.parent == child]
+    own = F.col(named[0]).cast("string") if named else F.lit(None).cast("string")
+    pair = [F.struct(F.lit(e.parent).alias("parent_table"), F.col(e.column).cast("string").alias("raw")) for e in out]
+    raw = df.select(F.explode(F.array(*pair)).alias("r"), own.alias("own"), day.alias("day"))
+    raw = raw.select("r.parent_table", "r.raw", "own", "day").filter("raw is not null and day is not null")
+    written = raw.groupBy("parent_table", "raw", "own", "day").agg(F.count(F.lit(1)).alias("n"))
+    compared = written.select(
+        F.lit(child).alias("child_table"), "parent_table", compare(F.col("raw")).alias("ref_value"),
+        compare(F.col("own")).alias("own_key"), "day", "n",
+    ).filter("ref_value is not null")
+    return compared.groupBy(*LINK).agg(F.sum("n").alias("n"))
+
+
+def cascade(references: DataFrame, known: DataFrame) -> DataFrame:
+    """Orphans per table, key and day: child_table, parent_table, ref_value, day, kind, depth, record_count.
+
+    ``references`` are ``links`` of all tables, ``known`` has (parent_table, ref_value, since, until) of all
+    parents. Depth 0 (direct) is a reference outside every period of its key; depth d (inherited) names a
+    record that is an orphan of depth d-1, and the least depth counts. Levels are made by semi-joins down
+    the graph until one adds nothing, so cycles end too.
+    """
+    references = cut(references)
+    r, k = references.alias("r"), known.alias("k")
+    held = (
+        (F.col("r.parent_table") == F.col("k.parent_table"))
         & (F.col("r.ref_value") == F.col("k.ref_value"))
-        & (F.col("r.day") >= F.col("k.since"))
+        & (F.col("k.since").isNull() | (F.col("r.day") >= F.col("k.since")))
         & (F.col("k.until").isNull() | (F.col("r.day") < F.col("k.until")))
     )
-    return r.join(k, on, "left_anti")
-
-
-@dataclass(frozen=True)
-class ForeignKey:
-    """``child``.``column`` names a ``parent`` record by ``key``."""
-
-    child: str
-    column: str
-    parent: str
-    key: str
-
-
-def cascade(records: dict[str, DataFrame], graph: list[ForeignKey], period: Column) -> DataFrame:
-    """Orphaned keys of all tables: child_table, parent_table, ref_value, period, kind, depth, record_count.
-
-    ``records`` gives each table with its key columns as compared. Direct orphans (depth 0) name a key
-    that the parent table does not hold; a record is an inherited orphan (depth d) where the parent
-    record it names is itself an orphan of depth d-1, and the shortest depth counts. Levels are
-    made by semi-joins down the graph until one adds nothing, so cycles end too. ``period`` is taken
-    over each child table. Null references are no orphans. Only distinct (key, reference, period) with
-    their counts move, never whole records.
-    """
-    edges = []
-    for e in graph:
-        child = records[e.child]
-        own = [x.key for x in graph if x.parent == e.child]
-        key = F.col(own[0]) if own else F.lit(None).cast("string")
-        edges.append(
-            child.filter(F.col(e.column).isNotNull())
-            .select(
-                F.lit(e.child).alias("child_table"), F.lit(e.parent).alias("parent_table"),
-                F.col(e.column).cast("string").alias("ref_value"), key.cast("string").alias("own_key"),
-                period.alias("period"),
-            )
-            .groupBy("child_table", "parent_table", "ref_value", "own_key", "period")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-    links = edges[0]
-    for e in edges[1:]:
-        links = links.unionByName(e)
-    links = cut(links)
-    held = None
-    for name, key in sorted({(e.parent, e.key) for e in graph}):
-        keys = records[name].select(
-            F.lit(name).alias("parent_table"), F.col(key).cast("string").alias("ref_value")
-        ).dropna().distinct()
-        held = keys if held is None else held.unionByName(keys)
-    level = links.join(held, ["parent_table", "ref_value"], "left_anti").withColumn("depth", F.lit(0))
-    found = cut(level)
-    new = found
+    new = found = cut(r.join(k, held, "left_anti").withColumn("depth", F.lit(0)))
     depth = 0
-    while not new.isEmpty():
+    while True:
         depth += 1
         gone = new.filter(F.col("own_key").isNotNull()).select(
             F.col("child_table").alias("parent_table"), F.col("own_key").alias("ref_value")
         ).distinct()
-        seen = found.select("child_table", "parent_table", "ref_value", "own_key", "period")
-        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in seen.columns]
-        new = links.join(gone, ["parent_table", "ref_value"], "left_semi").select(*links.columns).alias("l")
-        new = cut(new.join(seen.alias("s"), same, "left_anti").withColumn("depth", F.lit(depth)))
+        below = references.join(gone, ["parent_table", "ref_value"], "left_semi").select(*references.columns)
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in LINK]
+        new = below.alias("l").join(found.select(*LINK).alias("s"), same, "left_anti").withColumn("depth", F.lit(depth))
+        new = cut(new)
+        if new.isEmpty():
+            break
         found = found.unionByName(new)
-    return found.groupBy("child_table", "parent_table", "ref_value", "period", "depth").agg(
+    return found.groupBy("child_table", "parent_table", "ref_value", "day", "depth").agg(
         F.sum("n").alias("record_count")
     ).withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("inherited"))
+
+
+def orphans(
+    tables: dict[str, DataFrame], graph: list[ForeignKey], day: Column, known: DataFrame | None = None,
+    compare: Callable[[Column], Column] = reference,
+) -> DataFrame:
+    """``cascade`` over whole tables; ``known`` defaults to the keys that the parents hold, at any time.
+
+    ``day`` is taken over each child table. Empty tables give no orphan; an empty parent makes every
+    reference to it one. Repeated rows count each.
+    """
+    asked = None
+    for child in dict.fromkeys(e.child for e in graph):
+        part = links(tables[child], child, graph, day, compare)
+        asked = part if asked is None else asked.unionByName(part)
+    if known is None:
+        always = F.lit(None).cast("date")
+        for parent, key in sorted({(e.parent, e.key) for e in graph}):
+            part = tables[parent].select(F.lit(parent).alias("parent_table"), compare(F.col(key).cast("string")).alias("ref_value"))
+            part = part.dropna().distinct().withColumn("since", always).withColumn("until", always)
+            known = part if known is None else known.unionByName(part)
+    return cascade(asked, known)

@@ -212,6 +212,9 @@ MACHINES, ERRORS, TYPES = "bronze_machines", "bronze_error_codes", "bronze_event
 _KEYS = {MACHINES: "machine_id", ERRORS: "error_code", TYPES: "event_type_code"}
 
 
+_EVENTS = "bronze_device_events"
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     removed = table(spark, d, "master_removals")
     known = None
@@ -220,48 +223,37 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         gone = removed.filter(F.col("ref_table") == name).select(
             reference(F.col("ref_key")).alias("ref_value"), F.col("removed_on").alias("day")
         )
-        part = orphans.known_periods(loads, gone).withColumn("ref_table", F.lit(name))
+        part = orphans.known_periods(loads, gone).withColumn("parent_table", F.lit(name))
         known = part if known is None else known.unionByName(part)
-    named = F.explode(
-        F.array(*[F.struct(F.lit(t).alias("ref_table"), F.col(k).alias("raw")) for t, k in _KEYS.items()])
+    graph = [orphans.ForeignKey(_EVENTS, key, name, key) for name, key in _KEYS.items()]
+    found = orphans.orphans({_EVENTS: table(spark, d, _EVENTS)}, graph, F.col("load_date"), known)
+    return found.filter("kind = 'direct'").select(
+        F.col("parent_table").alias("ref_table"), "ref_value", day_text(F.col("day")).alias("load_day")
     )
-    # Raw values are made distinct before they are normalised: there are far fewer of them than rows.
-    raw = table(spark, d, "bronze_device_events").select(*_KEYS.values(), F.col("load_date").alias("day"))
-    asked = raw.select(named.alias("r"), "day").select("r.ref_table", "r.raw", "day").dropna().distinct()
-    asked = asked.select("ref_table", reference(F.col("raw")).alias("ref_value"), "day")
-    return orphans.direct_orphans(asked, known).select("ref_table", "ref_value", day_text(F.col("day")).alias("load_day"))
 
 
 def p5_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans down the graph: snapshots and facts name machine versions, and those name machines.
+    """Orphans down the graph: snapshots and events name machine versions, and those name machines.
 
     A snapshot of a machine that the master never loaded is inherited from its orphaned version.
     """
-    on = lambda c: reference(F.col(c))
-    records = {
-        MACHINES: table(spark, d, MACHINES).select(on("machine_id").alias("machine_id")),
-        ERRORS: table(spark, d, ERRORS).select(on("error_code").alias("error_code")),
-        "silver_dim_machines": table(spark, d, "silver_dim_machines").select(
-            on("machine_id").alias("machine_id"), F.to_date("valid_from").alias("day")
-        ),
-        "machine_snapshots": table(spark, d, "machine_snapshots").select(
-            on("machine_id").alias("machine_id"), F.to_date("received_at").alias("day")
-        ),
-        "bronze_device_events": table(spark, d, "bronze_device_events").select(
-            on("machine_id").alias("machine_id"), on("error_code").alias("error_code"), F.col("load_date").alias("day")
-        ),
+    tables = {
+        MACHINES: table(spark, d, MACHINES), ERRORS: table(spark, d, ERRORS),
+        "silver_dim_machines": table(spark, d, "silver_dim_machines").withColumn("day", F.to_date("valid_from")),
+        "machine_snapshots": table(spark, d, "machine_snapshots").withColumn("day", F.to_date("received_at")),
+        _EVENTS: table(spark, d, _EVENTS).withColumn("day", F.col("load_date")),
     }
     fk = orphans.ForeignKey
     graph = [
         fk("silver_dim_machines", "machine_id", MACHINES, "machine_id"),
         fk("machine_snapshots", "machine_id", "silver_dim_machines", "machine_id"),
-        fk("bronze_device_events", "machine_id", "silver_dim_machines", "machine_id"),
-        fk("bronze_device_events", "error_code", ERRORS, "error_code"),
+        fk(_EVENTS, "machine_id", "silver_dim_machines", "machine_id"),
+        fk(_EVENTS, "error_code", ERRORS, "error_code"),
     ]
-    found = orphans.cascade(records, graph, F.col("day"))
+    found = orphans.orphans(tables, graph, F.col("day"))
     return found.select(
-        "child_table", "parent_table", "ref_value", "period", "kind", F.col("depth").cast("bigint").alias("depth"),
-        "record_count",
+        "child_table", "parent_table", "ref_value", F.col("day").alias("period"), "kind",
+        F.col("depth").cast("bigint").alias("depth"), "record_count",
     )
 
 

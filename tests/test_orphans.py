@@ -19,14 +19,15 @@ def test_known_periods(spark):
     assert {tuple(r) for r in orphans.known_periods(loads.filter("ref_value = 'a'"), empty).select("ref_value", "since", "until").collect()} == {("a", D(2), None)}
 
 
-def test_direct_orphans(spark):
+def test_direct_orphans_by_day_and_writing(spark):
     known = spark.createDataFrame(
-        [("t", "a", D(2), D(4)), ("t", "a", D(6), None), ("u", "b", D(1), None)], "ref_table string, ref_value string, since date, until date"
+        [("t", "A", D(2), D(4)), ("t", "A", D(6), None), ("u", "B", None, None)], "parent_table string, ref_value string, since date, until date"
     )
-    rows = [("t", "a", D(d), "extra") for d in (1, 2, 3, 4, 5, 6, 9, 9)] + [("t", "b", D(3), None), ("u", "b", D(3), None), ("t", None, D(1), None), ("t", "a", None, None)]
-    asked = spark.createDataFrame(rows, "ref_table string, ref_value string, day date, since string")
-    got = {(r.ref_table, r.ref_value, r.day.day) for r in orphans.direct_orphans(asked, known).collect()}
-    assert got == {("t", "a", 1), ("t", "a", 4), ("t", "a", 5), ("t", "b", 3)}
+    rows = [("a", "b", D(d), "x") for d in (1, 2, 3, 4, 5, 6, 9, 9)] + [(" A ", None, D(1), None), ("b", " ", D(3), None), (None, "b", D(1), None), ("z", "z", None, None)]
+    table = spark.createDataFrame(rows, "t string, u string, day date, ref_value string")
+    graph = [ForeignKey("c", "t", "t", "k"), ForeignKey("c", "u", "u", "k")]
+    got = {(r.parent_table, r.ref_value, r.day.day, r.record_count) for r in orphans.orphans({"c": table}, graph, F.col("day"), known).collect()}
+    assert got == {("t", "A", 1, 2), ("t", "A", 4, 1), ("t", "A", 5, 1), ("t", "B", 3, 1)}
 
 
 def test_cascade_direct_and_inherited_with_cycle(spark):
@@ -42,7 +43,7 @@ def test_cascade_direct_and_inherited_with_cycle(spark):
         ForeignKey("mid", "root", "root", "id"), ForeignKey("leaf", "mid", "mid", "id"), ForeignKey("tip", "leaf", "leaf", "id"),
         ForeignKey("ring", "next", "ring", "id"),
     ]
-    got = {(r.child_table, r.ref_value, r.kind, r.depth, r.record_count) for r in orphans.cascade(records, graph, F.col("day")).collect()}
+    got = {(r.child_table, r.ref_value, r.kind, r.depth, r.record_count) for r in orphans.orphans(records, graph, F.col("day"), compare=lambda c: c).collect()}
     assert got == {
         ("mid", "gone", "direct", 0, 2), ("leaf", "m2", "inherited", 1, 1), ("leaf", "none", "direct", 0, 1),
         ("tip", "l2", "inherited", 2, 1), ("tip", "l3", "inherited", 1, 2),
@@ -52,4 +53,6 @@ def test_cascade_direct_and_inherited_with_cycle(spark):
 def test_cascade_of_empty_tables(spark):
     empty = spark.createDataFrame([], "id string, root string, day date")
     graph = [ForeignKey("mid", "root", "top", "id")]
-    assert orphans.cascade({"mid": empty, "top": empty}, graph, F.col("day")).count() == 0
+    assert orphans.orphans({"mid": empty, "top": empty}, graph, F.col("day")).count() == 0
+    some = spark.createDataFrame([("1", "x", D(1))], "id string, root string, day date")
+    assert [r.ref_value for r in orphans.orphans({"mid": some, "top": empty}, graph, F.col("day")).collect()] == ["X"]
