@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from millrace import quality
 from millrace.operators import frequency, models
@@ -154,7 +155,7 @@ class Context:
 
 
 STATES = {
-    "silver_tec_watermark": WATERMARK.add("model_name", "string"),
+    "silver_tec_watermark": T.StructType([*WATERMARK.fields, T.StructField("model_name", T.StringType())]),
     "silver_tec_kpi_mapping": KPI_MAPPING,
     "silver_tec_batch_execution_log": BATCH_LOG,
 }
