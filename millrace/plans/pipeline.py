@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import quality
 from millrace.operators import frequency, models
-from millrace.schemas import BATCH_LOG, BRONZE, CATEGORIES, KPI_MAPPING, MACHINE_TYPES, SEVERITIES, STATUSES, WATERMARK
+from millrace.schemas import BATCH_LOG, BRONZE, CATEGORIES, KPI_MAPPING, MACHINE_TYPES, READINGS, SEVERITIES, STATUSES, WATERMARK
 from millrace.sources import files
 from millrace.sources.state import StateTable, upsert
 
@@ -247,6 +248,51 @@ def commit_batch(ctx: Context, model: str, output: DataFrame) -> None:
         output.unpersist()
 
 
+#: Checks of the raw tables before anything is built on them.
+SOURCE_CHECKS = {
+    "raw_machines": {"unique": ["machine_id"], "not_null": ["machine_id"], "accepted_values": [("machine_type", MACHINE_TYPES)]},
+    "raw_event_types": {"unique": ["event_type_code"], "not_null": ["event_type_code"], "accepted_values": [("event_category", CATEGORIES)]},
+    "raw_error_codes": {"unique": ["error_code"], "not_null": ["error_code"], "accepted_values": [("severity", SEVERITIES)]},
+    "raw_device_events": {
+        "not_null": ["event_id", "event_type_code", "event_timestamp", "load_date"], "accepted_values": [("status_value", STATUSES)],
+        "relationships": [("event_type_code", "raw_event_types", "event_type_code")],
+    },
+}
+
+
+def test_sources(ctx: Context) -> list[quality.Result]:
+    """The checks of the raw tables that are given."""
+    checks = [c for name, spec in SOURCE_CHECKS.items() if name in ctx.raw for c in quality.parse(name, spec)]
+    return quality.run(checks, ctx.raw)
+
+
+def scan(ctx: Context, first_day: dt.date, last_day: dt.date) -> list[quality.Result]:
+    """An independent scan of the built tables for data of the loads from ``first_day`` to ``last_day``."""
+    within = lambda c: lambda: ~F.to_date(F.col(c)).between(F.lit(first_day), F.lit(last_day))
+    fact, dim, bronze = "silver_fact_device_events", "silver_dim_machines", "bronze_device_events"
+    row, query = (lambda n, t, v: quality.Check(n, t, verdict=v)), quality.Check
+    checks = [
+        *quality.parse(dim, {"min_rows": 1, "unique": ["machine_sk"], "singular": [quality.scd2_overlap, quality.one_current]}),
+        row("valid_from in the window", dim, within("valid_from")),
+        *quality.parse(fact, {"min_rows": 1, "unique": ["event_id"], "not_null": ["machine_id"]}),
+        query("every sound event survives", fact, lambda t: quality.lost_events(t[bronze], t[fact])),
+        query("the latest delivery is kept", fact, lambda t: quality.older_copy_kept(t[bronze], t[fact])),
+        row("load_date in the window", fact, within("load_date")),
+        row("readings have a value", fact, lambda: F.col("event_type_code").isin(*READINGS) & F.col("event_value").isNull()),
+        row("no event of the future", fact, lambda: F.col("event_timestamp") > F.lit(ctx.started)),
+    ]
+    # Taken over the whole fact: behind their own marks the frequency views are empty, and prove nothing.
+    tables = {n: ctx.ref(n) for n in (fact, dim, bronze)}
+    for name, grain in FREQUENCY.items():
+        tables[name] = frequency.event_frequency(tables[fact], grain)
+        checks += [
+            row("event_count is positive", name, lambda: F.col("event_count") < 1),
+            row("a gap wherever there are two events", name, lambda: F.col("avg_seconds_between_events").isNull() & (F.col("event_count") > 1)),
+            row("bucket_start in the window", name, within("bucket_start")),
+        ]
+    return quality.run(checks, tables)
+
+
 # ---- the telemetry pipeline
 
 telemetry = Registry()
@@ -276,7 +322,7 @@ _bronze("bronze_device_events", {
     **_SCD2_CHECKS, "not_null": ["machine_sk", "machine_id", "valid_from", "is_current"],
     "relationships": [("machine_id", "bronze_machines", "machine_id")],
     "accepted_values": [("machine_type", MACHINE_TYPES), ("status_value", STATUSES)],
-    "unique_combination": [["machine_id", "valid_from"]],
+    "unique_combination": [["machine_id", "valid_from"]], "singular": [quality.scd2_overlap, quality.one_current],
 })
 def silver_dim_machines(ctx: Context) -> DataFrame:
     return models.dim_machines(ctx.ref("bronze_device_events"), ctx.ref("bronze_machines"))

@@ -37,12 +37,16 @@ def relationships(df: DataFrame, column: str, parent: DataFrame, field: str) ->
 def between(df: DataFrame, column: str, low=None, high=None, where: Column | None = None) -> DataFrame:
     """Rows outside [low, high]; an absent bound is open and null passes."""
     df = df if where is None else df.filter(where)
+    return df.filter(_outside(column, low, high))
+
+
+def _outside(column: str, low, high) -> Column:
     outside = F.lit(False)
     if low is not None:
         outside |= F.col(column) < low
     if high is not None:
         outside |= F.col(column) > high
-    return df.filter(outside)
+    return outside
 
 
 def scd2_overlap(dim: DataFrame, key: str = "machine_id") -> DataFrame:
@@ -92,11 +96,16 @@ def metrics(df: DataFrame, duplicate_of: str, missing_in: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Check:
-    """A named query on a table whose rows are failures; ``metric`` checks give one row and a verdict."""
+    """A named query on a table whose rows are failures.
+
+    ``failures`` makes that query from all tables; instead, ``verdict`` may give a condition on single rows of
+    the table that fail. Conditions on one table are counted together in one pass.
+    """
 
     name: str
     table: str
-    failures: Callable[[dict[str, DataFrame]], DataFrame]
+    failures: Callable[[dict[str, DataFrame]], DataFrame] | None = None
+    verdict: Callable[[], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -112,14 +121,27 @@ class Result:
 
 
 def run(checks: list[Check], tables: dict[str, DataFrame]) -> list[Result]:
-    """Runs all checks; an error in one does not stop the others."""
-    results = []
-    for check in checks:
+    """Runs all checks, in their order; an error in one does not stop the others."""
+    found: dict[Check, Result] = {}
+    for name in dict.fromkeys(c.table for c in checks):
+        rows = [c for c in checks if c.table == name and c.verdict]
+        if not rows:
+            continue
+        try:
+            counted = tables[name].agg(*[F.count(F.when(c.verdict(), 1)).alias(f"n{i}") for i, c in enumerate(rows)]).first()
+            found |= {c: Result(c.name, name, counted[i]) for i, c in enumerate(rows)}
+        except Exception as error:  # one bad column must not hide the others: they are counted one by one below
+            if len(rows) == 1:
+                found[rows[0]] = Result(rows[0].name, name, 0, str(error)[:500])
+    for c in checks:
+        if c in found:
+            continue
         try:
-            results.append(Result(check.name, check.table, check.failures(tables).count()))
+            failing = tables[c.table].filter(c.verdict()) if c.verdict else c.failures(tables)
+            found[c] = Result(c.name, c.table, failing.count())
         except Exception as error:  # the report carries it
-            results.append(Result(check.name, check.table, 0, str(error)[:500]))
-    return results
+            found[c] = Result(c.name, c.table, 0, str(error)[:500])
+    return [found[c] for c in checks]
 
 
 def exit_code(results: list[Result]) -> int:
@@ -131,23 +153,27 @@ def parse(table: str, spec: dict) -> list[Check]:
     """Checks from a declaration such as ``{"not_null": ["a"], "unique": ["a"], "between": [("a", 0, 100)]}``.
 
     Kinds: not_null, unique, accepted_values (column, values), relationships (column, table, field),
-    unique_combination (lists of columns), between (column, low, high), min_rows (number).
+    unique_combination (lists of columns), between (column, low, high), min_rows (number), and singular
+    (functions of the table that give the failing rows).
     """
     out = []
     add = lambda name, f: out.append(Check(f"{table}: {name}", table, f))
+    row = lambda name, f: out.append(Check(f"{table}: {name}", table, verdict=f))
     for c in spec.get("not_null", []):
-        add(f"not_null {c}", lambda t, c=c: not_null(t[table], c))
+        row(f"not_null {c}", lambda c=c: F.col(c).isNull())
+    for c, values in spec.get("accepted_values", []):
+        row(f"accepted_values {c}", lambda c=c, v=values: ~F.col(c).isin(*v))
+    for c, low, high in spec.get("between", []):
+        row(f"between {c}", lambda c=c, lo=low, hi=high: _outside(c, lo, hi))
     for c in spec.get("unique", []):
         add(f"unique {c}", lambda t, c=c: unique(t[table], c))
-    for c, values in spec.get("accepted_values", []):
-        add(f"accepted_values {c}", lambda t, c=c, v=values: accepted_values(t[table], c, v))
     for c, parent, field in spec.get("relationships", []):
         add(f"relationships {c}", lambda t, c=c, p=parent, f=field: relationships(t[table], c, t[p], f))
     for columns in spec.get("unique_combination", []):
         add(f"unique_combination {','.join(columns)}", lambda t, c=columns: unique_combination(t[table], c))
-    for c, low, high in spec.get("between", []):
-        add(f"between {c}", lambda t, c=c, lo=low, hi=high: between(t[table], c, lo, hi))
     if "min_rows" in spec:
         least = spec["min_rows"]
         add("min_rows", lambda t: t[table].agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least))
+    for f in spec.get("singular", []):
+        add(f.__name__, lambda t, f=f: f(t[table]))
     return out

@@ -61,6 +61,10 @@ def test_full_build_then_a_second_day(spark, tmp_path):
     assert [o for o in first if o.status != "PASS"] == []
     assert sum(len(o.checks) for o in first) > 60
     log = ctx.ref("silver_tec_batch_execution_log")
+    assert quality.exit_code(pipeline.test_sources(ctx)) == 0
+    scanned = pipeline.scan(Context(spark, str(tmp_path), raw(spark), started=at(90_000)), T0.date(), T0.date())
+    # A mean gap is missing nowhere and nothing else fails: all of it is data of the one day.
+    assert [r for r in scanned if not r.passed] == [] and len(scanned) == 22
     assert {(r.model_name, r.row_count) for r in log.collect()} == {("agg_event_frequency_minute", 12), ("agg_event_frequency_hour", 2), ("agg_event_frequency_day", 2)}
     # Marks are per model: each of the three saw everything, and a rerun sees nothing new.
     again = Context(spark, str(tmp_path), {}, started=at(1))
@@ -150,6 +154,8 @@ def test_checks(spark):
     results = quality.run(quality.parse("t", {"not_null": ["n"], "unique": ["s"], "min_rows": 1}) + [quality.Check("x", "t", lambda t: t["missing"])], {"t": df})
     assert [r.passed for r in results] == [False, False, True, False] and results[3].error and quality.exit_code(results) == 1
     assert quality.exit_code(results[2:3]) == 0
+    mixed = quality.run(quality.parse("t", {"not_null": ["n", "absent"], "between": [("n", 0, 3)]}), {"t": df})
+    assert [(r.failures, r.error is None) for r in mixed] == [(1, True), (0, False), (1, True)]
     m = quality.metrics(df, "s", "n").collect()[0]
     assert (m.row_count, m.duplicate_count, m.missing_count) == (4, 1, 1)
     v = "machine_id string, machine_sk string, valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean"
