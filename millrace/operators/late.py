@@ -91,11 +91,10 @@ def corrected_periods(
         identity.alias("id"), key.alias("key"), event_ts.alias("ts"), seen_ts.alias("seen"),
         load_date.cast("date").alias("load"), total.cast("bigint").alias("total"), reading.cast("double").alias("reading"),
     ).filter(F.col("key").isNotNull() & F.col("load").isNotNull() & (F.col("ts") <= F.col("seen")))
+    # Records without identity get one of their own, by their place in the input.
+    own = F.coalesce("id", F.concat(F.lit("row/"), F.monotonically_increasing_id().cast("string")))
     one = F.struct("load", "seen", "key", "ts", "total", "reading")
-    named = counted.filter(F.col("id").isNotNull())
-    once = named.groupBy("id").agg(F.min(one).alias("r")).select("r.*").unionByName(
-        counted.filter(F.col("id").isNull()).select("load", "seen", "key", "ts", "total", "reading")
-    )
+    once = counted.groupBy(own.alias("id")).agg(F.min(one).alias("r")).select("r.*")
     day = F.to_date("ts")
     in_time = once.filter(F.datediff("load", day) <= cutoff_days).select(
         "key",
