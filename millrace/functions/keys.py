@@ -25,9 +25,9 @@ def hex_identity(event_id: Column) -> Column:
     letters that are digits too, so the last 32 count. An identifier of fewer digits stands for
     itself, stripped and in lower case; null and blank give null.
     """
-    digits = F.regexp_replace(F.lower(event_id), "[^0-9a-f]", "")
+    digits = F.right(F.regexp_replace(F.lower(event_id), "[^0-9a-f]", ""), F.lit(32))
     own = F.nullif(F.lower(stripped(event_id)), F.lit(""))
-    return F.when(F.length(digits) >= 32, F.right(digits, F.lit(32))).otherwise(own)
+    return F.when(F.length(digits) == 32, digits).otherwise(own)
 
 
 def dashed(digits: Column) -> Column:

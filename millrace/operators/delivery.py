@@ -30,7 +30,9 @@ def _repeated(keyed: DataFrame) -> DataFrame:
 
 
 def _salted(keyed: DataFrame) -> DataFrame:
-    return keyed.filter(F.col(ID).isNotNull()).withColumn(SALT, F.spark_partition_id() % SALTS)
+    """Rows spread by the partition they come from; those without identifier, which join nothing, widely."""
+    salt = F.when(F.col(ID).isNull(), F.monotonically_increasing_id() % (1 << 20)).otherwise(F.spark_partition_id() % SALTS)
+    return keyed.withColumn(SALT, salt.cast("int"))
 
 
 def _first(copies: DataFrame, order: list[Column]) -> DataFrame:
@@ -45,21 +47,20 @@ def ranked_repeats(df: DataFrame, identity: Column, order: list[Column]) -> Data
     one of them is kept. An empty table and one without repeated identifiers give no row.
     """
     keyed = _keyed(df, identity)
-    return _first(_salted(keyed).join(_repeated(keyed), [ID, SALT]).drop(SALT), order)
+    return _first(_salted(keyed).join(_repeated(keyed), [ID, SALT]), order).select(*keyed.columns, N)
 
 
 def exactly_once(df: DataFrame, identity: Column, order: list[Column]) -> DataFrame:
-    """``df`` with one row of each identifier, and ``_msg_id`` and ``_msg_copies`` besides.
+    """``df`` with one row of each identifier, and ``_msg_id`` and ``_msg_copies`` after its columns.
 
     Rows without identifier (null) can not be told to be copies and all stay, with ``_msg_copies`` 1.
     """
     keyed = _keyed(df, identity)
-    one = F.lit(1).cast("bigint")
-    unnamed = keyed.filter(F.col(ID).isNull()).withColumn(N, one)
-    marked = _salted(keyed).join(_repeated(keyed), [ID, SALT], "left").drop(SALT)
-    single = marked.filter(F.col(N).isNull()).withColumn(N, one)
+    # Both branches read the same join of the same exchange.
+    marked = _salted(keyed).join(_repeated(keyed), [ID, SALT], "left").select(*keyed.columns, N)
+    single = marked.filter(F.col(N).isNull()).withColumn(N, F.lit(1).cast("bigint"))
     kept = _first(marked.filter(F.col(N).isNotNull()), order)
-    return unnamed.unionByName(single).unionByName(kept)
+    return single.unionByName(kept)
 
 
 def exactly_once_incremental(
