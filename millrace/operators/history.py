@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import cut
+
 DAY_US = 86_400_000_000
 #: Recorded time of what was known before the observations began.
 BEFORE_ALL = -(1 << 62)
@@ -188,7 +190,8 @@ def versions(rows: DataFrame, fields: list[str], at_us: int | None = None) -> Da
     A version begins where any field differs from the value in force just before and ends where the
     next begins. Before the first known value of any field there is no version. An empty ledger has none.
     """
-    filled = current_values(as_known(rows, at_us), fields)
+    # The sweep must not run again for each of the summaries that are taken over its rows.
+    filled = current_values(cut(as_known(rows, at_us)), fields)
     differs = F.lit(False)
     for f in fields:
         differs |= ~F.col(f).eqNullSafe(F.col(f"before_{f}"))
