@@ -1,7 +1,7 @@
 """The next row of a key in time, for keys that may hold a third of all rows.
 
 A window over a whole key would sort that key in one task. Here rows are ordered inside slices of time
-of each key, and the row that follows a slice's last one is taken from a summary with one row per slice.
+of each key; only the first and last rows of the slices, two a slice, meet in a window over the key.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE, NEXT = "_nb_slice", "_nb_next"
+SLICE, NEXT, FIRST = "_nb_slice", "_nb_next", "_nb_first"
 
 
 def with_next(df: DataFrame, keys: list[str], ts: str, ties: list[str], carry: dict[str, str]) -> DataFrame:
@@ -18,15 +18,14 @@ def with_next(df: DataFrame, keys: list[str], ts: str, ties: list[str], carry: d
     ``carry`` maps each new column to the column of the next row that it shows; the last row of a key gets
     null. Null keys are a key of their own; rows without ``ts`` come first. Slices are days.
     """
-    sliced = df.withColumn(SLICE, F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date")))
     taken = F.struct(*[F.col(source).alias(name) for name, source in carry.items()])
     order = Window.partitionBy(*keys, SLICE).orderBy(ts, *ties)
-    near = sliced.withColumn(NEXT, F.lead(taken).over(order))
-    first = sliced.groupBy(*keys, SLICE).agg(F.min_by(taken, F.struct(ts, *ties)).alias("_nb_first"))
-    later = Window.partitionBy(*keys).orderBy(SLICE)
-    first = first.withColumn("_nb_first", F.lead("_nb_first").over(later))
-    names = {k: f"_nb_k{i}" for i, k in enumerate([*keys, SLICE])}
-    first = first.select("_nb_first", *[F.col(k).alias(n) for k, n in names.items()])
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    joined = near.join(first, same, "left").withColumn(NEXT, F.coalesce(NEXT, "_nb_first"))
-    return joined.select(*df.columns, *[F.col(f"{NEXT}.{name}").alias(name) for name in carry])
+    near = df.withColumn(SLICE, F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date")))
+    near = near.withColumns({NEXT: F.lead(taken).over(order), FIRST: F.row_number().over(order) == 1})
+    # Both branches read one exchange.
+    inner = near.filter(F.col(NEXT).isNotNull())
+    edges = near.filter(F.col(NEXT).isNull() | F.col(FIRST))
+    later = Window.partitionBy(*keys).orderBy(SLICE, F.col(NEXT).isNull())
+    last = edges.withColumn("_nb_later", F.lead(taken).over(later)).filter(F.col(NEXT).isNull())
+    last = last.withColumn(NEXT, F.col("_nb_later")).drop("_nb_later")
+    return inner.unionByName(last).select(*df.columns, *[F.col(f"{NEXT}.{name}").alias(name) for name in carry])
