@@ -141,12 +141,14 @@ g as (
     date_trunc('{grain}', event_timestamp)::timestamp bucket_start
   from n window w as (partition by machine_id, event_type_code order by event_timestamp)),
 r as (
-  select *, row_number() over (w order by event_value asc nulls first, event_timestamp) lo,
-    row_number() over (w order by event_value desc nulls last, event_timestamp) hi
+  select *, max(event_value) over w hi,
+    case when count(event_value) over w = count(*) over w then min(event_value) over w end lo
   from g window w as (partition by machine_id, event_type_code, bucket_start))
 select machine_id, event_type_code, bucket_start, count(*) event_count, min(event_timestamp) first_event_timestamp,
-  max(event_timestamp) last_event_timestamp, max(case when lo = 1 then event_timestamp end) timestamp_of_min_value,
-  max(case when hi = 1 then event_timestamp end) timestamp_of_max_value, avg(gap) avg_seconds_between_events
+  max(event_timestamp) last_event_timestamp,
+  min(event_timestamp) filter (where event_value is not distinct from lo) timestamp_of_min_value,
+  min(event_timestamp) filter (where event_value is not distinct from hi) timestamp_of_max_value,
+  avg(gap) avg_seconds_between_events
 from r group by 1, 2, 3"""
 
 
@@ -415,9 +417,9 @@ def oracle_sql() -> dict[str, str]:
         f"{name}.v latest_{column}, {name}.at latest_{name}_at" for name, column in SENSORS.values()
     ).replace(".at ", '."at" ')
     joins = joins.replace("event_timestamp at from", 'event_timestamp "at" from')
-    fact_value = "case when event_type_code = '{}' then event_value end"
+    only = "filter (where event_type_code = '{}')"
     analysis = f"""select m.machine_type, severity, count(*) error_count, avg(resolution_time_seconds) avg_resolution_time_seconds,
-      sum(case when requires_maintenance then 1 else 0 end)::bigint maintenance_required_count
+      count(*) filter (where requires_maintenance) maintenance_required_count
       from errs join (select distinct machine_id, machine_type from {DIM}) m using (machine_id) group by 1, 2"""
     o = {
         "bronze_events": _bronze_sql("bronze_device_events"),
@@ -470,24 +472,23 @@ def oracle_sql() -> dict[str, str]:
             where event_type_code in ({", ".join(f"'{c}'" for c in SENSORS)})) base {joins}""",
         "uptime_daily": f"""with {overlap},
             daily as (select machine_id, machine_type, day event_date, sum(s)::bigint total_seconds,
-              sum(case when status_value = 'RUNNING' then s else 0 end)::bigint running_seconds,
-              sum(case when status_value in ({down}) then s else 0 end)::bigint down_seconds,
-              sum(case when status_value = 'IDLE' then s else 0 end)::bigint idle_seconds from secs group by 1, 2, 3)
+              coalesce(sum(s) filter (where status_value = 'RUNNING'), 0)::bigint running_seconds,
+              coalesce(sum(s) filter (where status_value in ({down})), 0)::bigint down_seconds,
+              coalesce(sum(s) filter (where status_value = 'IDLE'), 0)::bigint idle_seconds from secs group by 1, 2, 3)
             select *, {share("running_seconds")} pct_running, {share("down_seconds")} pct_down,
               {share("idle_seconds")} pct_idle from daily""",
         "interval_overlap": f"with {overlap} select machine_sk, day, s overlap_seconds from secs",
         "type_performance": f"""select machine_type, event_date,
-            {", ".join(f"avg({fact_value.format(code)}) avg_{column}" for code, (_, column) in SENSORS.items())},
-            {", ".join(f"count(case when event_type_code = '{code}' then 1 end) {name}_reading_count" for code, (name, _) in SENSORS.items())}
+            {", ".join(f"avg(event_value) {only.format(code)} avg_{column}" for code, (_, column) in SENSORS.items())},
+            {", ".join(f"count(*) {only.format(code)} {name}_reading_count" for code, (name, _) in SENSORS.items())}
             from {FACT} where event_type_code in ({", ".join(f"'{c}'" for c in SENSORS)}) group by 1, 2""",
         "error_analysis": f"with {_ERRORS} {analysis}",
         "top_errors": f"with {_ERRORS} {analysis} order by error_count desc, machine_type, severity limit 6",
         "production_output": f"""select machine_id, machine_type, event_date,
-            sum(case when event_type_code = 'PRODUCT_COUNT_UPDATE' then product_count else 0 end)::bigint total_product_count,
-            count(case when event_type_code = 'CYCLE_START' then 1 end) cycle_start_count,
-            count(case when event_type_code = 'CYCLE_COMPLETE' then 1 end) cycle_complete_count,
-            sum(case when event_type_code = 'CYCLE_COMPLETE' then product_count else 0 end)::bigint cycle_product_count,
-            avg(case when event_type_code = 'CYCLE_COMPLETE' then cycle_duration_seconds end) avg_cycle_duration_seconds
+            sum(if(event_type_code = 'PRODUCT_COUNT_UPDATE', product_count, 0))::bigint total_product_count,
+            count(*) {only.format("CYCLE_START")} cycle_start_count, count(*) {only.format("CYCLE_COMPLETE")} cycle_complete_count,
+            sum(if(event_type_code = 'CYCLE_COMPLETE', product_count, 0))::bigint cycle_product_count,
+            avg(cycle_duration_seconds) {only.format("CYCLE_COMPLETE")} avg_cycle_duration_seconds
             from {FACT} group by 1, 2, 3""",
         "day_spine": f"""select unnest(generate_series(a, b, interval 1 day))::date as day from (
             select min(valid_from)::date::timestamp a, max(coalesce(valid_to, valid_from))::date::timestamp b from {DIM})""",
