@@ -25,17 +25,25 @@ BLANKS = " \t\u00a0\u3000\u202f\u2009\u2002\u2003\u000b\u000c"
 
 # Abbreviations that do not end a sentence whatever follows.
 ALWAYS = {
-    "en": "Mr Mrs Ms Messrs Dr Drs Prof St Mt Ft Gen Col Capt Lt Sgt Rev Hon Gov Sen Rep Pres Fig Figs Eq Eqs Sec Secs "
-    "Ch Chap Ref Refs Tab No Nos Vol Vols Ver pp vs viz cf approx ca resp dept bldg incl excl Dept Bldg vol no nos fig "
-    "figs eq eqs sec secs ch chap tab ver est Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Univ univ temp avg max esp",
-    "de": "Hr Hrn Fr Nr Nrn Abb Abs Kap Bd Bde Str Tel vgl Vgl bzw ggf evtl inkl exkl zzgl sog Sog ca Ca Lt lt Tab Ziff "
-    "Art Aufl Hrsg gem bspw Std Stk Mio Mrd Dipl Ing",
-    "fr": "MM env Env av bd bât chap fig tabl vol réf art éd p Cf cf resp boul",
-    "es": "Sr Sra Srta Sres Dra Dres pág págs núm núms Núm aprox Aprox cap art tel fig Ud Uds Vd Vds vol avda Véase_",
-    "ru": "Проф проф рис Рис табл Табл стр Стр гл Гл им ул пл пр акад доц см См ср Ср тыс кв обл гор д-р св напр Напр",
-    "el": "Βλ βλ σχ Σχ πίν Πίν σελ Σελ κ Κ καθ Καθ δρ Δρ αρ Αρ δηλ Δηλ κεφ λ",
+    "en": "Mr Mrs Ms Messrs Dr Drs Prof St Mt Ft Gen Col Capt Lt Sgt Rev Hon Gov Sen Rep Pres viz cf vs approx ca resp dept "
+    "Dept bldg Bldg incl excl Univ univ",
+    "de": "Hr Hrn Fr Str Tel vgl Vgl bzw ggf evtl inkl exkl zzgl sog Sog ca Ca Lt lt Hrsg gem bspw Mio Mrd Dipl Ing",
+    "fr": "MM env Env av bd éd Cf cf resp boul",
+    "es": "Sr Sra Srta Sres Dra Dres aprox Aprox Ud Uds Vd Vds avda",
+    "ru": "Проф проф им ул пл пр акад доц См см ср Ср тыс кв обл гор д-р св напр Напр",
+    "el": "Βλ βλ κ Κ καθ Καθ δρ Δρ αρ Αρ δηλ Δηλ λ",
     "hi": "डॉ प्रो श्री श्रीमती पं पृ सं कु",
 }
+# Abbreviations that do not end a sentence before a number; many are words besides.
+NUMBERED = {
+    "en": "Fig Figs fig figs Eq Eqs eq eqs Sec Secs sec secs Ch Chap ch chap Ref Refs Tab tab No Nos no nos Vol Vols vol vols "
+    "Ver ver p pp Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec",
+    "de": "Nr Nrn Abb Abs Kap Bd Bde Ziff Art Aufl S Std Stk",
+    "fr": "bât tabl réf art",
+    "es": "pág págs núm núms Núm cap tel",
+    "ru": "рис Рис табл Табл стр Стр гл Гл с",
+    "el": "σχ Σχ πίν Πίν σελ Σελ κεφ",
+}
 # Abbreviations of several parts; every stop in them is masked.
 PARTS = (
     r"e\. ?g\.|i\. ?e\.|a\.k\.a\.|z\. ?B\.|Z\. ?B\.|d\. ?h\.|u\. ?a\.|u\. ?U\.|s\. ?o\.|s\. ?u\.|i\. ?d\. ?R\.|i\. ?A\.|"
@@ -98,6 +106,7 @@ PROTECTED = "|".join(
         # What follows a look ahead is tried at few places only: long lists cost nothing elsewhere.
         rf"(?=\p{{L}}{{1,2}}\.){_W}(?:{PARTS})",
         rf"(?=[\p{{L}}\p{{M}}-]{{1,9}}\.\s){_W}(?:{_any(' '.join(ALWAYS.values()))})\.",
+        rf"(?=\p{{L}}{{1,5}}\.\s){_W}(?:{_any(' '.join(NUMBERED.values()))})\.(?=\s+[(\[#]?\d)",
         # The title M. and initials, also joined ones; a label such as "site C." is none.
         rf"(?=\p{{Lu}}\.){_W}(?<![.°])(?<!\b(?:{_any(LABELS)}) )(?:\p{{Lu}}\.[ -]?)+(?=\s*\p{{Lu}}\p{{L}})",
         # Single Arabic letters and anything Ethiopic before a full stop are abbreviations.

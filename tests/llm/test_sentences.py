@@ -24,6 +24,7 @@ WHOLE = [
     ['The log said: "Run failed. Restart the kernel!" and nothing else.', '"Is it stable?" asked Dana.', 'She wrote: "Fine. Ship it."', "Next."],
     ["The curve (it starts at 2.78. No, at 14.77!) looks flat.", "(The plan was rebuilt in 2009.)", "pandas reads it.", "next i drop it.", "so this works now."],
     ["**It is `a.b()` here.**", "`df.head()` shows that.[3]", "The answer was 'no.'", "The package Bang! prints 3 rows.", "See https://x.example/v1.2/run?id=10 for now.", "Is it?!", "No"],
+    ["No.", "He likes modern art.", "It is no. 5 in vol. 2 of Eq. (3).", "By Dec. 4 it rose.", "She came in Dec.", "Then she left."],
     ["There are two steps: 1. load it, 2. clean it.", "README.md and ../cfg/model.tar.gz are old.", "We tried means, etc.", "It is set to 0."],
     ["Am 3. Mai fiel Hr. Ken aus.", "Die Werte der 3. und 4. Schicht, z. B. `C`, u. a. Text, sind i. d. R. gut.", "Teil 3.", "Im 19. Jh. war es bei 5 °C.", "Der Rest usw.", "Die N GmbH & Co. KG."],
     ["„Stimmt das?“ fragte Ken.", "So weit, so gut …", "Wir gehen."],
