@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--select", default="")
     p.add_argument("--vars", default="{}", help='JSON, such as {"load_date": "2026-04-02"}')
     p.add_argument("--state", help="lineage file of an earlier docs call, for state:modified")
+    p.add_argument("--threads", type=int, default=1)
     p.add_argument("--full-refresh", action="store_true")
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
         for r in results:
             print("PASS" if r.passed else "ERROR" if r.error else "FAIL", r.name, r.failures, r.error or "")
         return pipeline.quality.exit_code(results)
-    outcomes = pipeline.run(registry, ctx, a.select, test=a.command == "build", previous=previous)
+    outcomes = pipeline.run(registry, ctx, a.select, test=a.command == "build", previous=previous, threads=a.threads)
     for o in outcomes:
         print(o.status, o.model, f"{sum(c.passed for c in o.checks)}/{len(o.checks)} checks", o.detail)
     return int(any(o.status != "PASS" for o in outcomes))

@@ -9,6 +9,7 @@ import inspect
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from threading import Lock
 
@@ -195,36 +196,38 @@ def _materialize(ctx: Context, m: Model, df: DataFrame) -> None:
         raise ValueError(m.materialized)
 
 
-def run(registry: Registry, ctx: Context, select: str = "", test: bool = True, previous: dict[str, str] | None = None) -> list[Outcome]:
-    """Builds the selected models in order, each followed by its checks.
+def run(
+    registry: Registry, ctx: Context, select: str = "", test: bool = True, previous: dict[str, str] | None = None, threads: int = 1
+) -> list[Outcome]:
+    """Builds the selected models in order, each followed by its checks; up to ``threads`` at a time.
 
     What depends on a model that broke off or failed a check is skipped.
     """
-    chosen = registry.select(select, previous)
-    bad: set[str] = set()
-    out: list[Outcome] = []
-    for name in registry.order(chosen):
-        m = registry.models[name]
-        if bad & set(m.deps):
-            bad.add(name)
-            out.append(Outcome(name, "SKIP", f"after {', '.join(sorted(bad & set(m.deps)))}"))
-            continue
-        try:
-            _materialize(ctx, m, m.build(ctx))
-            results: list[quality.Result] = []
-            if test and m.checks:
-                needed = {name, *(p for _, p, _ in m.checks.get("relationships", []))}
-                results = quality.run(quality.parse(name, m.checks), {n: ctx.ref(n) for n in needed})
-            if name in FREQUENCY:
-                commit_batch(ctx, name, ctx.views[name])
-        except Exception as error:  # the report carries it
-            bad.add(name)
-            out.append(Outcome(name, "ERROR", str(error)[:500]))
-            continue
-        if quality.exit_code(results):
-            bad.add(name)
-        out.append(Outcome(name, "FAIL" if name in bad else "PASS", checks=tuple(results)))
-    return out
+    order = registry.order(registry.select(select, previous))
+    done: dict[str, Outcome] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        while len(done) < len(order):
+            ready = [n for n in order if n not in done and all(d in done or d not in order for d in registry.models[n].deps)]
+            bad = {n for n, o in done.items() if o.status != "PASS"}
+            done |= zip(ready, pool.map(lambda n: _one(registry, ctx, n, bad, test), ready))
+    return [done[n] for n in order]
+
+
+def _one(registry: Registry, ctx: Context, name: str, bad: set[str], test: bool) -> Outcome:
+    m = registry.models[name]
+    if bad & set(m.deps):
+        return Outcome(name, "SKIP", f"after {', '.join(sorted(bad & set(m.deps)))}")
+    try:
+        _materialize(ctx, m, m.build(ctx))
+        results: list[quality.Result] = []
+        if test and m.checks:
+            needed = {name, *(p for _, p, _ in m.checks.get("relationships", []))}
+            results = quality.run(quality.parse(name, m.checks), {n: ctx.ref(n) for n in needed})
+        if name in FREQUENCY:
+            commit_batch(ctx, name, ctx.views[name])
+    except Exception as error:  # the report carries it
+        return Outcome(name, "ERROR", str(error)[:500])
+    return Outcome(name, "FAIL" if quality.exit_code(results) else "PASS", checks=tuple(results))
 
 
 def commit_batch(ctx: Context, model: str, output: DataFrame) -> None:

@@ -74,7 +74,8 @@ def test_full_build_then_a_second_day(spark, tmp_path):
     day = T0.date() + dt.timedelta(1)
     both = {k: v.unionByName(raw(spark)[k]) if k == "raw_device_events" else v for k, v in raw(spark, day).items()}
     second = Context(spark, str(tmp_path), both, {"load_date": day}, started=at(90_000))
-    assert all(o.status == "PASS" for o in run(telemetry, second))
+    assert all(o.status == "PASS" for o in run(telemetry, second, threads=4))
+    assert {r.row_count for r in second.ref("silver_tec_batch_execution_log").filter(F.col("batch_run_id") == second.run_id).collect()} == {12, 2}
     assert second.ref("bronze_device_events").count() == 24
     assert second.ref("silver_fact_device_events").count() == 24
     assert second.ref("bronze_machines").count() == 2
