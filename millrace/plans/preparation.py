@@ -215,7 +215,8 @@ _KEYS = {MACHINES: "machine_id", ERRORS: "error_code", TYPES: "event_type_code"}
 _EVENTS = "bronze_device_events"
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Periods in which the keys of the master tables are known, by their loads and removals."""
     removed = table(spark, d, "master_removals")
     known = None
     for name, key in _KEYS.items():
@@ -225,8 +226,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         )
         part = orphans.known_periods(loads, gone).withColumn("parent_table", F.lit(name))
         known = part if known is None else known.unionByName(part)
+    return known
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
     graph = [orphans.ForeignKey(_EVENTS, key, name, key) for name, key in _KEYS.items()]
-    found = orphans.orphans({_EVENTS: table(spark, d, _EVENTS)}, graph, F.col("load_date"), known)
+    found = orphans.orphans({_EVENTS: table(spark, d, _EVENTS)}, graph, F.col("load_date"), _known(spark, d))
     return found.filter("kind = 'direct'").select(
         F.col("parent_table").alias("ref_table"), "ref_value", day_text(F.col("day")).alias("load_day")
     )
@@ -235,7 +240,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Orphans down the graph: snapshots and events name machine versions, and those name machines.
 
-    A snapshot of a machine that the master never loaded is inherited from its orphaned version.
+    Keys are known in periods, by loads and removals as in ``p5_found``; a version is known from its first
+    day on. A snapshot or event on a day on which the master does not know the machine of its version
+    is inherited from the version, orphaned that day.
     """
     tables = {
         MACHINES: table(spark, d, MACHINES), ERRORS: table(spark, d, ERRORS),
@@ -249,8 +256,11 @@ def p5_cascade(spark: SparkSession, d: str) -> DataFrame:
         fk("machine_snapshots", "machine_id", "silver_dim_machines", "machine_id"),
         fk(_EVENTS, "machine_id", "silver_dim_machines", "machine_id"),
         fk(_EVENTS, "error_code", ERRORS, "error_code"),
+        fk(_EVENTS, "event_type_code", TYPES, "event_type_code"),
     ]
-    found = orphans.orphans(tables, graph, F.col("day"))
+    begun = tables["silver_dim_machines"].select(reference(F.col("machine_id")).alias("ref_value"), "day")
+    versions = orphans.known_periods(begun).withColumn("parent_table", F.lit("silver_dim_machines"))
+    found = orphans.orphans(tables, graph, F.col("day"), _known(spark, d).unionByName(versions))
     return found.select(
         "child_table", "parent_table", "ref_value", F.col("day").alias("period"), "kind",
         F.col("depth").cast("bigint").alias("depth"), "record_count",

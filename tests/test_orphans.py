@@ -56,3 +56,54 @@ def test_cascade_of_empty_tables(spark):
     assert orphans.orphans({"mid": empty, "top": empty}, graph, F.col("day")).count() == 0
     some = spark.createDataFrame([("1", "x", D(1))], "id string, root string, day date")
     assert [r.ref_value for r in orphans.orphans({"mid": some, "top": empty}, graph, F.col("day")).collect()] == ["X"]
+
+
+def test_orphaned_for_a_time(spark):
+    """A parent is an orphan while what it names is unknown; its next record takes its place."""
+    known = spark.createDataFrame(
+        [("root", "A", D(1), D(4)), ("root", "B", D(3), None), ("mid", "M1", D(2), None), ("mid", "M2", None, None), ("mid", "M3", D(2), None)],
+        "parent_table string, ref_value string, since date, until date",
+    )
+    mid = [("m1", "a", D(2)), ("m1", "b", D(6)), ("m2", "c", D(2)), ("m2", None, D(5)), ("m3", "b", D(2))]
+    leaf = [(f"l{m}", m, D(d)) for m in ("m1", "m2", "m3") for d in (1, 2, 3, 4, 5, 6, 7)]
+    records = {
+        "mid": spark.createDataFrame(mid, "id string, root string, day date"),
+        "leaf": spark.createDataFrame(leaf, "id string, mid string, day date"),
+        "tip": spark.createDataFrame([("lm1", D(3)), ("lm1", D(5)), ("lm1", D(7))], "leaf string, day date"),
+    }
+    known = known.unionByName(known.filter("ref_value = 'M2'").selectExpr("'leaf' parent_table", "'LM1' ref_value", "since", "until"))
+    graph = [ForeignKey("mid", "root", "root", "id"), ForeignKey("leaf", "mid", "mid", "id"), ForeignKey("tip", "leaf", "leaf", "id")]
+    got = {(r.child_table, r.ref_value, r.day.day, r.depth, r.record_count) for r in orphans.orphans(records, graph, F.col("day"), known).collect()}
+    assert got == {
+        ("mid", "C", 2, 0, 1), ("mid", "B", 2, 0, 1),
+        ("leaf", "M1", 1, 0, 1), ("leaf", "M1", 4, 1, 1), ("leaf", "M1", 5, 1, 1),
+        *[("leaf", "M2", d, 1, 1) for d in (1, 2, 3, 4)],
+        ("leaf", "M3", 1, 0, 1), ("leaf", "M3", 2, 1, 1),
+        ("tip", "LM1", 5, 2, 1),
+    }
+
+
+def test_cascade_query_knows_removals_and_late_loads(spark, tmp_path):
+    from millrace.plans import preparation
+
+    T = lambda n: dt.datetime(2020, 1, n, 12)
+    tables = {
+        "master_removals": ([("bronze_machines", "m1", D(5))], "ref_table string, ref_key string, removed_on date"),
+        "bronze_machines": ([("M1", T(1)), ("M2", T(4))], "machine_id string, _loaded_at timestamp_ntz"),
+        "bronze_error_codes": ([("E1", T(3))], "error_code string, _loaded_at timestamp_ntz"),
+        "bronze_event_types": ([("T1", T(1))], "event_type_code string, _loaded_at timestamp_ntz"),
+        "silver_dim_machines": ([("M1", T(2)), ("M2", T(3))], "machine_id string, valid_from timestamp_ntz"),
+        "machine_snapshots": ([("M1", T(4)), ("M1", T(5)), ("M2", T(2))], "machine_id string, received_at timestamp_ntz"),
+        "bronze_device_events": (
+            [("M1", "E1", "T1", D(2)), ("M1", None, "T1", D(6)), ("M2", "E1", "T2", D(3)), ("M2", None, "T1", D(4))],
+            "machine_id string, error_code string, event_type_code string, load_date date",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.child_table, r.ref_value, r.period.day, r.kind) for r in preparation.p5_cascade(spark, str(tmp_path)).collect()}
+    events = "bronze_device_events"
+    assert got == {
+        ("silver_dim_machines", "M2", 3, "direct"), ("machine_snapshots", "M2", 2, "direct"), ("machine_snapshots", "M1", 5, "inherited"),
+        (events, "E1", 2, "direct"), (events, "T2", 3, "direct"), (events, "M1", 6, "inherited"), (events, "M2", 3, "inherited"),
+    }
