@@ -39,13 +39,13 @@ def as_of(
     """Each fact with the columns of the version in force at its ``ts``.
 
     ``versions`` names its columns apart from ``facts``, except ``keys``. Both sides meet on (keys, day), so
-    a key with a third of all facts is spread over its days; open versions reach to the last day of
-    the facts. Facts without keys, instant or version keep nulls (``left``) or drop out (``inner``).
+    a key with a third of all facts is spread over its days; open versions are spread over the days on
+    which their key has facts, so a wrong clock far ahead costs one row. Facts without keys, instant or version keep nulls (``left``) or drop out (``inner``).
     """
-    last = facts.agg((F.max(F.to_date(ts)) + F.expr("interval 1 day")).cast("timestamp_ntz").alias("_until"))
-    bounded = versions.crossJoin(F.broadcast(last))  # one row
-    spread = by_day(bounded, start, end, F.greatest(F.col("_until"), F.col(start) + F.expr("interval 1 day")), "_day")
-    spread = spread.drop("_until")
+    closed = by_day(versions.filter(F.col(end).isNotNull()), start, end, F.col(end), "_day")
+    held = facts.select(*keys, F.to_date(ts).alias("_day")).dropna().distinct()
+    still = versions.filter(F.col(end).isNull()).join(held, keys).filter(F.col("_day") >= F.to_date(start))
+    spread = closed.unionByName(still)
     f, v = facts.withColumn("_day", F.to_date(ts)).alias("f"), spread.alias("v")
     on = F.col("f._day") == F.col("v._day")
     for k in keys:

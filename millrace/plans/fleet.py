@@ -187,11 +187,10 @@ def batch_log_row(spark: SparkSession, d: str) -> DataFrame:
 
 
 def as_of_status(spark: SparkSession, d: str) -> DataFrame:
-    """Every event of the landing with the status in force at its instant."""
+    """Every event of the landing with the status in force at its instant, nulls where there is none."""
     events = table(spark, d, "bronze_device_events").select("event_id", "machine_id", "event_timestamp", "load_date", "source_ingested_at")
     dim = table(spark, d, DIM).select("machine_id", "status_value", "firmware_version", "valid_from", "valid_to")
-    sane = events.filter((F.col("event_timestamp") > F.lit("2018-01-01").cast("timestamp_ntz")) & (F.col("event_timestamp") <= F.col("source_ingested_at")))
-    return intervals.as_of(sane, dim, ["machine_id"], "event_timestamp", "valid_from", "valid_to")
+    return intervals.as_of(events, dim, ["machine_id"], "event_timestamp", "valid_from", "valid_to")
 
 
 def day_spine(spark: SparkSession, d: str) -> DataFrame:

@@ -168,6 +168,23 @@ def test_as_of_join_at_the_edges(spark):
     assert got == {0: None, 1: "A", 2: "A", 3: "B", 4: "B", 5: None, 6: None, 7: None}
 
 
+def test_as_of_status_keeps_events_with_wrong_clocks(spark, tmp_path):
+    from millrace.plans import fleet
+
+    seen, far = at(500), at(0).replace(year=9999, month=12, day=31)
+    instants = {"right": at(100), "before": at(-90_000), "long ago": at(0).replace(year=2000), "after seen": at(900_000), "far": far, "null": None}
+    rows = [(i, "M", t, at(0).date(), seen) for i, t in instants.items()] + [("no key", None, at(100), None, None), ("not seen", "M", at(200), None, None)]
+    spark.createDataFrame(
+        rows, "event_id string, machine_id string, event_timestamp timestamp_ntz, load_date date, source_ingested_at timestamp_ntz"
+    ).write.parquet(str(tmp_path / "bronze_device_events.parquet"))
+    spark.createDataFrame(
+        [("M", "A", "1", at(0), at(1000)), ("M", "B", "1", at(1000), None)],
+        "machine_id string, status_value string, firmware_version string, valid_from timestamp_ntz, valid_to timestamp_ntz",
+    ).write.parquet(str(tmp_path / "silver_dim_machines.parquet"))
+    got = sorted((r.event_id, r.status_value or "") for r in fleet.as_of_status(spark, str(tmp_path)).collect())
+    assert got == [("after seen", "B"), ("before", ""), ("far", "B"), ("long ago", ""), ("no key", ""), ("not seen", "A"), ("null", ""), ("right", "A")]
+
+
 def test_next_row_across_slices_with_nulls(spark):
     df = spark.createDataFrame([("a", at(0), 1), ("a", at(400_000), 2), ("a", at(400_000), 3), ("a", None, 0), (None, at(1), 9), (None, at(200_000), 8)], "k string, ts timestamp_ntz, n int")
     got = {r.n: r.nx for r in with_next(df, ["k"], "ts", ["n"], {"nx": "n"}).collect()}
