@@ -8,7 +8,7 @@ by swapping the placeholders back.
 1. One pattern marks the lines of a cell that hold no prose, and the markers of lists and quotations;
    what lies between is a block.
 2. One pattern finds protected spans: code, addresses, quotations, brackets, abbreviations, initials,
-   ordinals. Their terminators are masked.
+   ordinals, and the stops in decimals, versions and names of files. Their terminators are masked.
 3. Script-specific patterns mark the borders after the terminators that are left.
 """
 
@@ -67,12 +67,21 @@ ORDINAL_NOUNS = (
     "Jan Feb März Apr Mai Jun Juli Aug Sep Okt Nov Dez Jänner Tag Woche Monat Quartal Jahr Jh Jahrhundert Schicht Stock "
     "Auflage Kapitel Platz Rang Stelle Schritt Versuch Lauf Mal"
 )
+# Endings of file names, where a full-width stop precedes them.
+ENDINGS = (
+    "py ipynb csv tsv txt md json jsonl yaml yml toml xml html pdf png jpg jpeg gif svg parquet gz zip tar sql sh log cfg ini "
+    "xls xlsx doc docx ppt pptx js ts css java c h cpp rs go r jl npy npz pkl pt h5 db"
+)
 
 
 def _any(words: str) -> str:
     return "|".join(sorted(set(words.split()), key=lambda w: (-len(w), w)))
 
 
+def _wide(words: str) -> str:
+    return words.translate({i: i + 0xFEE0 for i in range(0x21, 0x7F)})
+
+
 _HEADING = r"^[ \t]*(?:>[ \t]?)*#{1,6}(?:[ \t].*)?$"
 _TABLE = r"^[ \t]*(?:>[ \t]?)*\|.*$|^[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+$"
 _IMAGE = r"^[ \t]*(?:>[ \t]?)*(?:!\[[^\]\r\n]*\](?:\([^)\r\n]*\)|\[[^\]\r\n]*\])|<img\b[^>\r\n]*>)[ \t]*$"
@@ -90,6 +99,7 @@ _BLANK_LINE = r"(?>\r\n|\n|\r)[ \t]*(?=[\r\n])"
 #: Everything that is no prose, in one pattern, so that nothing is sought inside what is found.
 STRUCTURE = "(?m)" + "|".join((_FENCE, _FORMULA, _HEADING, _TABLE, _IMAGE, _RULE, _MARKER, _BLANK_LINE))
 
+_LATIN = r"\w０-９Ａ-Ｚａ-ｚ＿"
 _W = r"(?<![\p{L}\p{M}\p{N}_])"
 _QUOTES = (
     "\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|»[^«»]*«|‹[^‹›]*›|「[^「」]*」|『[^『』]*』|《[^《》]*》|〈[^〈〉]*〉|‘[^‘’]*’(?![\\p{L}])"
@@ -115,6 +125,10 @@ PROTECTED = "|".join(
         # German ordinals.
         rf"(?=\d{{1,2}}\.\s){_W}\d{{1,2}}\.(?=\s+(?:{_any(ORDINAL_NOUNS)}))",
         r"(?=\d{1,2}\.\s)(?<=\b(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Zz]ur|[Dd]er|[Dd]en|[Dd]em|[Dd]es|[Dd]ie|[Dd]as|\d\. und) )\d{1,2}\.(?=\s+\p{Lu})",
+        # Inside decimals, versions and names of files, and before .05 and .env.
+        r"[.．](?=\p{Nd})(?<=\p{Nd}[.．])",
+        r"\.(?=\w)(?<=[\p{L}\p{N}_\s/-]\.|^\.)",
+        rf"．(?<=[{_LATIN}]．)(?=(?:{_any(ENDINGS + ' ' + _wide(ENDINGS))})(?![{_LATIN}]))",
         # A sole word before an ellipsis and a number goes on.
         r"(?=\p{Lu})(?<=^[\s*_]{0,6}|[.!?…。！？][^\p{L}]{0,6})\p{Lu}\p{L}* ?(?:\.{3}|…)(?=\s+\d)",
     )

@@ -48,6 +48,12 @@ def test_blocks(spark):
     assert units(spark, texts) == WHOLE + NO_BLANKS + WHOLE
 
 
+def test_stops_inside_decimals_versions_and_names(spark):
+    wide = ["円周率は３．１４です。", "値は９５．３％だった．", "ｖ１．２．３とｍａｉｎ．ｐｙとａ.ｂ．csvを使う。", "使ったのはＲ．", "次はPython．", "Rは使わない。", "第３．", "終わり"]
+    greek = ["Τρέχει σε Python 3.11;", "Ναι.", "Είναι στο main.py;", "Ναι.", "Είναι στο v1.2.3;", "Όχι.", "Λείπει το .env;", "Ναι."]
+    assert units(spark, ["".join(wide), " ".join(greek)]) == [wide, greek]
+
+
 def test_a_line_break_is_a_blank(spark):
     for end in ("\n", "\r\n"):
         text = "One line" + end + "goes on. Dr." + end + "Ken came. Ends" + end + end + "New block"
