@@ -144,7 +144,13 @@ _CJK = r"぀-ヿ㐀-鿿豈-﫿"
 #: Stops that need no blank after them.
 FULL = r"[。！？．｡؟۔।॥።፧։။]+[!?]*+(?:[」』”’）】》〉)\]*_]|\[\d{1,3}\])*+(?=.)"
 MIXED = rf"(?<=[{_CJK}])[!?]+(?:[」』”’）】》〉)\]*_]|\[\d{{1,3}}\])*+(?=\S)"
-GREEK = rf";(?<=[Ͱ-Ͽἀ-῿][^.!?;]{{0,60}};){_CLOSE}{_NEW}"
+_GREEK = "Ͱ-Ͽἀ-῿"
+GREEK = rf";{_CLOSE}{_NEW}"
+#: What tells nothing of the language of a sentence: code, addresses, and names with a stop or the like in them.
+UNSPOKEN = rf"``[^`]+``|`[^`]+`|[^\s/\\_@:.{MASKS}]*+[/\\_@:.{MASKS}]\S*"
+GREEK_WORD = rf"[{_GREEK}][\p{{L}}\p{{M}}]*+"
+#: Words of other languages; names, with a capital, are in Greek sentences too.
+OTHER_WORD = rf"(?<![\p{{L}}\p{{M}}])[\p{{Ll}}\p{{Lo}}&&[^{_GREEK}]][\p{{L}}\p{{M}}]*+"
 THAI = r"(?<=[฀-๿])[ \u00a0]+(?=[฀-๿])"
 #: A bracket that is a unit of its own: it opens after a border and closes after a stop.
 OWN_BRACKET = (
@@ -189,11 +195,22 @@ def _masked(block: Column) -> Column:
     return F.array_join(F.transform(spans, mask), "")
 
 
+def _asked(masked: Column) -> Column:
+    """``masked`` with a border after every Greek question; most words since the last border are Greek in one."""
+
+    def ask(piece: Column) -> Column:
+        spoken = F.regexp_replace(piece, UNSPOKEN, " ")
+        greek = F.regexp_count(spoken, F.lit(GREEK_WORD)) > F.regexp_count(spoken, F.lit(OTHER_WORD))
+        return F.when(piece.contains(";") & greek, F.regexp_replace(piece, GREEK, f"$0{BORDER}")).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(masked, BORDER, -1), ask), BORDER)
+
+
 def _bordered(masked: Column) -> Column:
     """``masked`` with a border after every sentence inside it."""
     s = F.regexp_replace(masked, STOPS, f"$0{BORDER}")
     s = F.when(s.rlike(r"[^\x00-ɏ]"), F.regexp_replace(F.regexp_replace(s, FULL, f"$0{BORDER}"), MIXED, f"$0{BORDER}")).otherwise(s)
-    s = F.when(s.contains(";"), F.regexp_replace(s, GREEK, f"$0{BORDER}")).otherwise(s)
+    s = F.when(s.contains(";") & s.rlike(f"[{_GREEK}]"), _asked(s)).otherwise(s)
     s = F.when(s.rlike(r"[฀-๿]"), F.regexp_replace(s, THAI, f"{BORDER}$0")).otherwise(s)
     s = F.when(s.contains(BRACKET_END), F.regexp_replace(s, OWN_BRACKET, f"$1$2{BORDER}")).otherwise(s)
     return F.when(

@@ -54,6 +54,16 @@ def test_stops_inside_decimals_versions_and_names(spark):
     assert units(spark, ["".join(wide), " ".join(greek)]) == [wide, greek]
 
 
+def test_greek_questions(spark):
+    far = "x" * 70
+    greek = [
+        f"Γιατί αποτυγχάνει το `{far}`;", "Ναι.", f"Πού είναι το /srv/{far}/a;", "Εκεί.", f"Άνοιξε το https://x.example/{far};", "Όχι.",
+        "Γιατί αργεί το TensorFlow Extended Data Validation Pipeline Orchestrator With Many More Names;", "Έτσι.", "Ή;", "Τέλος.",
+    ]
+    other = ["We set the β coefficient of `a`; The rest stays.", "It is the word λόγος in all of them; He said so."]
+    assert units(spark, [" ".join(greek), " ".join(other)]) == [greek, other]
+
+
 def test_a_line_break_is_a_blank(spark):
     for end in ("\n", "\r\n"):
         text = "One line" + end + "goes on. Dr." + end + "Ken came. Ends" + end + end + "New block"
