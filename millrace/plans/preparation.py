@@ -193,11 +193,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_exactly_once(spark: SparkSession, d: str) -> DataFrame:
     """Every message once, whole rows; a further order makes the kept copy unique."""
     events = table(spark, d, "bronze_device_events")
-    order = [*_order(), F.col("_loaded_at").desc(), F.col("event_id"), F.col("machine_id"), F.col("event_type_code")]
+    order = [*_order(), F.col("_loaded_at").desc(), F.col("event_id"), F.col("machine_id"), F.col("event_type_code"), F.col("machine_type")]
     kept = delivery.exactly_once(events, hex_identity(F.col("event_id")), order)
     return kept.select(
-        dashed(F.col(delivery.ID)).alias("message_id"), F.col(delivery.N).alias("copies"),
-        *[c for c in events.columns if c != "machine_type"],
+        dashed(F.col(delivery.ID)).alias("message_id"), F.col(delivery.N).alias("copies"), *events.columns
     )
 
 

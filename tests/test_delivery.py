@@ -1,3 +1,4 @@
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -52,3 +53,16 @@ def test_identity_forms(spark):
     forms = [want, want.upper(), want.replace("-", ""), f"urn:uuid:{want}", "{" + want + "}", f" {want} ", f"evt_{want}", f"id:{want.upper()}"]
     df = spark.createDataFrame([(f,) for f in forms], "e string")
     assert {r[0] for r in df.select(dashed(hex_identity(F.col("e")))).collect()} == {want}
+
+
+def test_exactly_once_query_gives_whole_rows(spark, tmp_path):
+    from millrace.plans import preparation
+
+    seen = dt.datetime(2020, 1, 1, 12)
+    rows = [(i, "M1", kind, "T", seen, seen.date(), seen) for i, kind in (("0" * 32, "SLICER"), ("0" * 32, "BAKER"), ("1" * 32, "PACKER"))]
+    schema = "event_id string, machine_id string, machine_type string, event_type_code string, source_ingested_at timestamp_ntz, load_date date, _loaded_at timestamp_ntz"
+    events = spark.createDataFrame(rows, schema)
+    events.write.parquet(str(tmp_path / "bronze_device_events.parquet"))
+    got = preparation.p4_exactly_once(spark, str(tmp_path))
+    assert got.columns == ["message_id", "copies", *events.columns]
+    assert sorted((r.copies, r.machine_type) for r in got.collect()) == [(1, "PACKER"), (2, "BAKER")]
