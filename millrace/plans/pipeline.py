@@ -26,6 +26,8 @@ from millrace.sources.state import StateTable, upsert
 LAYERS = ("raw", "bronze", "silver", "gold")
 #: Materialization of a layer unless the model names its own.
 DEFAULTS = {"bronze": "append", "silver": "table", "gold": "view"}
+#: Namespace of a layer unless the model names its own.
+NAMESPACES = {"raw": "raw", "bronze": "bronze", "silver": "silver", "gold": "gold"}
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,12 @@ class Model:
     materialized: str
     tags: frozenset[str] = frozenset()
     checks: dict = field(default_factory=dict)
+    schema: str | None = None
+
+    @property
+    def namespace(self) -> str:
+        """The folder of the model's table: its own schema as it is named, else that of its layer."""
+        return NAMESPACES[self.layer] if self.schema is None else self.schema.strip()
 
     @property
     def fingerprint(self) -> str:
@@ -52,9 +60,9 @@ class Registry:
     def __init__(self) -> None:
         self.models: dict[str, Model] = {}
 
-    def model(self, layer: str, deps: list[str] = (), materialized: str | None = None, tags: list[str] = (), checks: dict | None = None):
+    def model(self, layer: str, deps: list[str] = (), materialized: str | None = None, tags: list[str] = (), checks: dict | None = None, schema: str | None = None):
         def add(build):
-            m = Model(build.__name__, layer, tuple(deps), build, materialized or DEFAULTS[layer], frozenset([layer, *tags]), checks or {})
+            m = Model(build.__name__, layer, tuple(deps), build, materialized or DEFAULTS[layer], frozenset([layer, *tags]), checks or {}, schema)
             for dep in m.deps:
                 below = "raw" if dep.startswith("raw_") else self.models[dep].layer
                 if LAYERS.index(below) > LAYERS.index(layer) or layer == "gold" and below not in ("silver", "gold"):
@@ -140,8 +148,18 @@ class Context:
     started: dt.datetime = field(default_factory=lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None))
     views: dict[str, DataFrame] = field(default_factory=dict)
 
+    registry: Registry | None = None
+
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """Folder of a table: in its namespace, or where it lies already beside the namespaces, or is no model."""
+        model = (self.registry or telemetry).models.get(name)
+        beside = f"{self.root}/{name}"
+        return beside if model is None or files.exists(self.spark, beside) else f"{self.root}/{model.namespace}/{name}"
+
+    def tables(self) -> DataFrame:
+        """Namespace and name of each table that is stored."""
+        own = {m.namespace for m in (self.registry or telemetry).models.values()}
+        return files.tables(self.spark, self.root, tuple(sorted({*NAMESPACES.values(), *own})))
 
     def ref(self, name: str) -> DataFrame:
         if name in self.raw:
@@ -203,6 +221,7 @@ def run(
 
     What depends on a model that broke off or failed a check is skipped.
     """
+    ctx.registry = ctx.registry or registry
     order = registry.order(registry.select(select, previous))
     done: dict[str, Outcome] = {}
     with ThreadPoolExecutor(threads) as pool:

@@ -44,6 +44,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _folder(spark, path)
+    return fs.exists(place)
+
+
+def tables(spark: SparkSession, root: str, namespaces: tuple[str, ...]) -> DataFrame:
+    """Namespace and name of each table in the folders ``namespaces`` of ``root``; those beside them have none."""
+    rows = []
+    for namespace in (None, *namespaces):
+        place, fs = _folder(spark, f"{root}/{namespace}" if namespace else root)
+        for x in fs.listStatus(place) if fs.exists(place) else ():
+            name = x.getPath().getName()
+            if x.isDirectory() and name[0] not in "._" and (namespace or name not in namespaces):
+                rows.append((namespace, name))
+    return spark.createDataFrame(sorted(rows, key=lambda r: (r[0] or "", r[1])), "table_schema string, table_name string")
+
+
 def describe(df: DataFrame) -> DataFrame:
     """Name, type, place and comment of each column, as of the information schema."""
     rows = [

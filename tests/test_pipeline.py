@@ -189,3 +189,19 @@ def test_streams(spark, tmp_path):
 
 def test_writer_count():
     assert set(pipeline.FREQUENCY) == {m for m in telemetry.models if m.startswith("agg_event_frequency")}
+
+
+def test_tables_lie_in_the_namespace_of_their_layer(spark, tmp_path):
+    r = pipeline.Registry()
+    build = lambda name: (lambda f: (setattr(f, "__name__", name), f)[1])(lambda ctx: ctx.spark.range(2))
+    r.model("silver", materialized="table")(build("one"))
+    r.model("silver", materialized="table", schema=" own ")(build("two"))
+    ctx = Context(spark, str(tmp_path), {}, registry=r)
+    assert ctx.tables().count() == 0
+    files.overwrite(spark.range(1), str(tmp_path / "old"))
+    r.model("silver", materialized="table")(build("old"))
+    assert [o.status for o in run(r, ctx)] == ["PASS"] * 3
+    assert [tuple(x) for x in ctx.tables().collect()] == [(None, "old"), ("own", "two"), ("silver", "one")]
+    assert [ctx.ref(n).count() for n in ("one", "two", "old")] == [2, 2, 2]
+    assert ctx.path("two") == f"{tmp_path}/own/two" and ctx.path("silver_dim_machines") == f"{tmp_path}/silver_dim_machines"
+    assert Context(spark, str(tmp_path), {}).path("silver_dim_machines") == f"{tmp_path}/silver/silver_dim_machines"
