@@ -494,8 +494,7 @@ def oracle_sql() -> dict[str, str]:
         "as_of_status": f"""select e.event_id, e.machine_id, event_timestamp, load_date, source_ingested_at, d.status_value,
             d.firmware_version, valid_from, valid_to from bronze_device_events e left join {DIM} d
             on d.machine_id = e.machine_id and event_timestamp >= valid_from
-            and (valid_to is null or event_timestamp < valid_to)
-            where event_timestamp > timestamp '2018-01-01' and event_timestamp <= source_ingested_at""",
+            and (valid_to is null or event_timestamp < valid_to)""",
         "layer_counts_union": " union all ".join(
             f"select '{n}' object, count(*) n_rows from {n}"
             for n in ("bronze_device_events", "bronze_machines", FACT, DIM, "machine_snapshots")

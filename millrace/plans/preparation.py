@@ -176,6 +176,13 @@ numbered as (
 # ---- p4: messages delivered more than once
 
 
+#: What breaks ties between copies after the order of ``_order`` and the stamp of the landing, ascending, nulls first.
+_REST = (
+    "event_id machine_id event_type_code machine_type event_timestamp event_date status_value temperature_c speed_units_per_min "
+    "vibration_mm_s product_count cycle_duration_seconds error_code"
+).split()
+
+
 def _order() -> list[Column]:
     named = reference(F.col("machine_id")).isNotNull()
     return [named.desc(), F.col("source_ingested_at").desc(), F.col("load_date").desc()]
@@ -191,9 +198,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_exactly_once(spark: SparkSession, d: str) -> DataFrame:
-    """Every message once, whole rows; a further order makes the kept copy unique."""
+    """Every message once, whole rows; all columns are in the order, so copies that tie are the same row."""
     events = table(spark, d, "bronze_device_events")
-    order = [*_order(), F.col("_loaded_at").desc(), F.col("event_id"), F.col("machine_id"), F.col("event_type_code"), F.col("machine_type")]
+    order = [*_order(), F.col("_loaded_at").desc(), *[F.col(c) for c in _REST if c in events.columns]]
     kept = delivery.exactly_once(events, hex_identity(F.col("event_id")), order)
     return kept.select(
         dashed(F.col(delivery.ID)).alias("message_id"), F.col(delivery.N).alias("copies"), *events.columns
@@ -284,23 +291,32 @@ select ref_table, ref_value, strftime(load_date, '%Y-%m-%d') load_day from refs
       and g.removed_on <= r.load_date and g.removed_on >= l.loaded))"""
 
 _P5_CASCADE_SQL = """
-with dim as (select upper(trim(machine_id)) k, valid_from::date d from silver_dim_machines where trim(machine_id) <> ''),
-machines as (select distinct upper(trim(machine_id)) k from bronze_machines where trim(machine_id) <> ''),
-codes as (select distinct upper(trim(error_code)) k from bronze_error_codes where trim(error_code) <> ''),
-bad as (select distinct k from dim where k not in (select k from machines)),
-children as (
-  select 'machine_snapshots' child_table, upper(trim(machine_id)) k, received_at::date d from machine_snapshots
-  where trim(machine_id) <> '' union all
-  select 'bronze_device_events', upper(trim(machine_id)), load_date from bronze_device_events where trim(machine_id) <> ''),
-rows as (
-  select 'silver_dim_machines' child_table, 'bronze_machines' parent_table, k, d, 'direct' kind, 0 depth from dim
-  where k in (select k from bad) union all
-  select child_table, 'silver_dim_machines', k, d, 'direct', 0 from children where k not in (select k from dim) union all
-  select child_table, 'silver_dim_machines', k, d, 'inherited', 1 from children where k in (select k from bad) union all
-  select 'bronze_device_events', 'bronze_error_codes', upper(trim(error_code)), load_date, 'direct', 0
-  from bronze_device_events where trim(error_code) <> '' and upper(trim(error_code)) not in (select k from codes))
-select child_table, parent_table, k ref_value, d period, kind, depth::bigint depth, count(*) record_count
-from rows group by all"""
+with refs as (
+  select child_table, parent_table, upper(trim(v)) k, d, count(*) n from (
+    select 'silver_dim_machines' child_table, 'bronze_machines' parent_table, machine_id v, valid_from::date d from silver_dim_machines union all
+    select 'machine_snapshots', 'silver_dim_machines', machine_id, received_at::date from machine_snapshots union all
+    select 'bronze_device_events', 'silver_dim_machines', machine_id, load_date from bronze_device_events union all
+    select 'bronze_device_events', 'bronze_error_codes', error_code, load_date from bronze_device_events union all
+    select 'bronze_device_events', 'bronze_event_types', event_type_code, load_date from bronze_device_events)
+  where trim(v) <> '' and d is not null group by all),
+loads as (
+  select distinct t master, upper(trim(v)) k, seen::date loaded from (
+    select 'bronze_machines' t, machine_id v, _loaded_at seen from bronze_machines union all
+    select 'bronze_error_codes', error_code, _loaded_at from bronze_error_codes union all
+    select 'bronze_event_types', event_type_code, _loaded_at from bronze_event_types)),
+gone as (select ref_table master, upper(trim(ref_key)) k, removed_on from master_removals),
+begun as (select upper(trim(machine_id)) k, min(valid_from::date) since from silver_dim_machines group by 1),
+asked as (
+  select r.*, parent_table = 'silver_dim_machines' through, coalesce(since <= d, false) held,
+    case when parent_table = 'silver_dim_machines' then 'bronze_machines' else parent_table end master
+  from refs r left join begun b on b.k = r.k),
+judged as (
+  select *, exists (select 1 from loads l where l.master = a.master and l.k = a.k and l.loaded <= a.d
+    and not exists (select 1 from gone g where g.master = a.master and g.k = a.k and g.removed_on <= a.d
+      and g.removed_on >= l.loaded)) known from asked a)
+select child_table, parent_table, k ref_value, d period, case when through and held then 'inherited' else 'direct' end kind,
+  case when through and held then 1 else 0 end::bigint depth, n record_count
+from judged where not known or through and not held"""
 
 
 def queries() -> dict:
@@ -346,9 +362,9 @@ def oracle_sql() -> dict[str, str]:
         "p4_exactly_once": f"""
         with n as (select *, {_HEX} id from bronze_device_events),
         r as (select *, count(*) over (partition by id) copies,
-          row_number() over (partition by id order by {_P4_ORDER}, _loaded_at desc, event_id,
-          machine_id nulls first, event_type_code) k from n)
-        select {_DASHED} message_id, copies, * exclude (id, k, copies, machine_type) from r where k = 1""",
+          row_number() over (partition by id order by {_P4_ORDER}, _loaded_at desc,
+          {", ".join(f"{c} nulls first" for c in _REST)}) k from n)
+        select {_DASHED} message_id, copies, * exclude (id, k, copies) from r where k = 1""",
         "p5_found": _P5_SQL,
         "p5_cascade": _P5_CASCADE_SQL,
     }
