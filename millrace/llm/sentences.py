@@ -10,6 +10,9 @@ by swapping the placeholders back.
 2. One pattern finds protected spans: code, addresses, quotations, brackets, abbreviations, initials,
    ordinals, and the stops in decimals, versions and names of files. Their terminators are masked.
 3. Script-specific patterns mark the borders after the terminators that are left.
+
+Repeated groups are possessive: the regex engine of the JVM follows other ones by recursion, and a long
+text would overflow its stack. No pattern is tried again inside a run of marks that it has failed on.
 """
 
 from __future__ import annotations
@@ -82,19 +85,20 @@ def _wide(words: str) -> str:
     return words.translate({i: i + 0xFEE0 for i in range(0x21, 0x7F)})
 
 
-_HEADING = r"^[ \t]*(?:>[ \t]?)*#{1,6}(?:[ \t].*)?$"
-_TABLE = r"^[ \t]*(?:>[ \t]?)*\|.*$|^[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+$"
-_IMAGE = r"^[ \t]*(?:>[ \t]?)*(?:!\[[^\]\r\n]*\](?:\([^)\r\n]*\)|\[[^\]\r\n]*\])|<img\b[^>\r\n]*>)[ \t]*$"
-_RULE = r"^[ \t]*(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|={3,}[ \t]*)$"
+_HEADING = r"^[ \t]*(?:>[ \t]?)*+#{1,6}(?:[ \t].*)?$"
+_TABLE = r"^[ \t]*(?:>[ \t]?)*+\|.*$|^[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)++$"
+_IMAGE = r"^[ \t]*(?:>[ \t]?)*+(?:!\[[^\]\r\n]*\](?:\([^)\r\n]*\)|\[[^\]\r\n]*\])|<img\b[^>\r\n]*>)[ \t]*$"
+_RULE = r"^[ \t]*(?:(?:-[ \t]*){3,}+|(?:\*[ \t]*){3,}+|(?:_[ \t]*){3,}+|={3,}[ \t]*)$"
+# Bodies stop at the next mark of their own kind, so that openers that nothing closes cost no more than their text.
 _FORMULA = (
-    r"^[ \t]*\$\$(?s:.*?)\$\$[ \t]*$|^[ \t]*\$[^$\r\n]+\$[ \t]*$|^[ \t]*\\\[(?s:.*?)\\\][ \t]*$|"
-    r"^[ \t]*\\begin\{(\w+\*?)\}(?s:.*?)\\end\{\2\}[ \t]*$"
+    r"^[ \t]*\$\$(?:[^$]|\$(?!\$))*+\$\$[ \t]*$|^[ \t]*\$[^$\r\n]+\$[ \t]*$|^[ \t]*\\\[(?:[^\\]|\\(?![\[\]]))*+\\\][ \t]*$|"
+    r"^[ \t]*\\begin\{(\w+\*?)\}(?:[^\\]|\\(?!(?:begin|end)\{\2\}))*+\\end\{\2\}[ \t]*$"
 )
 _FENCE = (
-    r"^[ \t]*(?:>[ \t]*)*(```+|~~~+)[^\r\n]*(?:\R(?s:.*?)(?:^[ \t]*(?:>[ \t]*)*\1[`~]*[ \t]*$|\z)|\z)"
+    r"^[ \t]*(?:>[ \t]*)*+(```+|~~~+)[^\r\n]*(?:\R(?s:.*?)(?:^[ \t]*(?:>[ \t]*)*+\1[`~]*[ \t]*$|\z)|\z)"
 )
 _BULLET = r"(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?"
-_MARKER = rf"^[ \t]*(?:>[ \t]?)+(?:[ \t]*{_BULLET})*|^[ \t]*(?:{_BULLET})+"
+_MARKER = rf"^[ \t]*(?:>[ \t]?)++(?:[ \t]*{_BULLET})*+|^[ \t]*(?:{_BULLET})++"
 _BLANK_LINE = r"(?>\r\n|\n|\r)[ \t]*(?=[\r\n])"
 #: Everything that is no prose, in one pattern, so that nothing is sought inside what is found.
 STRUCTURE = "(?m)" + "|".join((_FENCE, _FORMULA, _HEADING, _TABLE, _IMAGE, _RULE, _MARKER, _BLANK_LINE))
@@ -105,7 +109,7 @@ _QUOTES = (
     "\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|»[^«»]*«|‹[^‹›]*›|「[^「」]*」|『[^『』]*』|《[^《》]*》|〈[^〈〉]*〉|‘[^‘’]*’(?![\\p{L}])"
 )
 _BRACKETS = (
-    r"\([^()]*(?:\([^()]*\)[^()]*)*\)|（[^（）]*(?:（[^（）]*）[^（）]*)*）|\[[^\[\]]*\]|【[^【】]*】|\{[^{}]*\}"
+    r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)|（[^（）]*+(?:（[^（）]*+）[^（）]*+)*+）|\[[^\[\]]*\]|【[^【】]*】|\{[^{}]*\}"
 )
 PROTECTED = "|".join(
     (
@@ -118,7 +122,8 @@ PROTECTED = "|".join(
         rf"(?=[\p{{L}}\p{{M}}-]{{1,9}}\.\s){_W}(?:{_any(' '.join(ALWAYS.values()))})\.",
         rf"(?=\p{{L}}{{1,5}}\.\s){_W}(?:{_any(' '.join(NUMBERED.values()))})\.(?=\s+[(\[#]?\d)",
         # The title M. and initials, also joined ones; a label such as "site C." is none.
-        rf"(?=\p{{Lu}}\.){_W}(?<![.°])(?<!\b(?:{_any(LABELS)}) )(?:\p{{Lu}}\.[ -]?)+(?=\s*\p{{Lu}}\p{{L}})",
+        # Whether initials are a name shows at their end, so no more than two starts are tried in a row of them.
+        rf"(?=\p{{Lu}}\.){_W}(?<![.°])(?<!\p{{Lu}}\.[ -]?\p{{Lu}}\.[ -]?)(?<!\b(?:{_any(LABELS)}) )(?:\p{{Lu}}\.[ -]?)++(?=\s*\p{{Lu}}\p{{L}})",
         # Single Arabic letters and anything Ethiopic before a full stop are abbreviations.
         r"[ء-ي]\.(?=\s)(?<![\p{L}\p{M}][ء-ي]\.)",
         r"\.(?<=[ሀ-፿]\.)",
@@ -139,15 +144,15 @@ _CLOSE = r"(?:[\"'”’»›)\]}*_]|\[\d{1,3}\])*+"
 _SMALL = rf"(?:{_any(SMALL)})\b|(?:next|so|then|now|also) (?:i|we|this|that|it)\b|i (?:\p{{Ll}}|'m)"
 _NEW = rf"(?=\s)(?:(?!\s+{_OPEN}\p{{Ll}})|(?=\s+{_OPEN}(?:{_SMALL})))"
 #: Cased scripts and those that use the same stops: a blank and no small letter follow.
-STOPS = rf"[.!?…]++{_CLOSE}{_NEW}"
+STOPS = rf"(?<![.!?…])[.!?…]++{_CLOSE}{_NEW}"
 _CJK = r"぀-ヿ㐀-鿿豈-﫿"
 #: Stops that need no blank after them.
-FULL = r"[。！？．｡؟۔।॥።፧։။]+[!?]*+(?:[」』”’）】》〉)\]*_]|\[\d{1,3}\])*+(?=.)"
-MIXED = rf"(?<=[{_CJK}])[!?]+(?:[」』”’）】》〉)\]*_]|\[\d{{1,3}}\])*+(?=\S)"
+FULL = r"(?<![。！？．｡؟۔।॥።፧։။])[。！？．｡؟۔।॥።፧։။]++[!?]*+(?:[」』”’）】》〉)\]*_]|\[\d{1,3}\])*+(?=.)"
+MIXED = rf"(?<=[{_CJK}])[!?]++(?:[」』”’）】》〉)\]*_]|\[\d{{1,3}}\])*+(?=\S)"
 _GREEK = "Ͱ-Ͽἀ-῿"
 GREEK = rf";{_CLOSE}{_NEW}"
 #: What tells nothing of the language of a sentence: code, addresses, and names with a stop or the like in them.
-UNSPOKEN = rf"``[^`]+``|`[^`]+`|[^\s/\\_@:.{MASKS}]*+[/\\_@:.{MASKS}]\S*"
+UNSPOKEN = rf"``[^`]+``|`[^`]+`|(?<![^\s`])[^\s/\\_@:.{MASKS}]*+[/\\_@:.{MASKS}]\S*"
 GREEK_WORD = rf"[{_GREEK}][\p{{L}}\p{{M}}]*+"
 #: Words of other languages; names, with a capital, are in Greek sentences too.
 OTHER_WORD = rf"(?<![\p{{L}}\p{{M}}])[\p{{Ll}}\p{{Lo}}&&[^{_GREEK}]][\p{{L}}\p{{M}}]*+"
@@ -159,17 +164,47 @@ OWN_BRACKET = (
 )
 #: A quotation that ends a sentence: what follows begins another.
 END_QUOTE = (
-    rf"{QUOTE_END}((?:[*_]|\[\d{{1,3}}\])*)(?=\s+(?:{_OPEN}[\p{{Lu}}\p{{Lt}}\p{{N}}`]|{_SMALL}))"
+    rf"{QUOTE_END}((?:[*_]|\[\d{{1,3}}\])*+)(?=\s+(?:{_OPEN}[\p{{Lu}}\p{{Lt}}\p{{N}}`]|{_SMALL}))"
 )
 LATIN_QUOTE = rf"(?<=[A-Za-z][{MASKS[0]}-{MASKS[-1]}]{{1,3}}[\"”»’]{QUOTE_END})([*_]*)(?=\s+\p{{Lo}})"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements of a group whose sum is taken at once by ``_starts``.
+GROUP = 64
+
+
+def _sums(sizes: Column) -> Column:
+    """What goes before each element of ``sizes``; the list grows by copies, so it must be short."""
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def _sum(sizes: Column, first: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(sizes, first + 1, n), F.lit(0), lambda acc, x: acc + x)
+
+
 def _starts(parts: Column, *, less: str = "") -> Column:
-    """The place of each part, counted in characters that belong to the text."""
+    """The place of each part, counted in characters that belong to the text.
+
+    Long lists are summed by groups first, and inside its group for each part: the work per part is
+    bounded by GROUP, and only the short list of the groups' sums is made by copies.
+    """
     size = lambda p: F.length(F.translate(p, less, "")) if less else F.length(p)
-    return F.aggregate(
-        parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + size(p)))
-    )
+
+    def grouped(sizes: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(GROUP))
+        return _let(
+            _sums(F.transform(firsts, lambda at: _sum(sizes, at, F.lit(GROUP)))),
+            lambda before: F.transform(
+                sizes, lambda _, i: F.get(before, (i / GROUP).cast("int")) + _sum(sizes, i - i % GROUP, i % GROUP)
+            ),
+        )
+
+    return _let(F.transform(parts, size), lambda sizes: F.when(F.size(sizes) <= GROUP, _sums(sizes)).otherwise(grouped(sizes)))
 
 
 def _blocks(body: Column) -> Column:

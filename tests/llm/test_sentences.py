@@ -1,5 +1,7 @@
 """Sentence units of single blocks in many languages, and the places of all units."""
 
+import time
+
 import pytest
 
 from millrace.llm import sentences
@@ -106,6 +108,49 @@ def test_very_long_cell(spark):
     assert len(got) > 6000 and "".join(got).replace(" ", "") == text.replace(" ", "")
 
 
+N = 100_000
+
+
+#: Every group that a pattern repeats, and openers that nothing closes, with the number of units.
+@pytest.mark.parametrize("texts", [
+    {"See (" + "(a) " * N + ") end. Next.": 2, "（" + "（あ）" * N + "）。終": 2, "(" * N + "a. B": 2, "([{" * N: 0},
+    {"A. " * N + "Smith went. Then.": 2, "x " + "A. " * N + "y": N, "J.-" * N + "Smith went.": 1},
+    {'He said "No."' + "*" * N + " Next": 2, 'He said "No."' + "[1]" * N + " Next": 2, "No." + ")" * N + " Next": 2, "好。" + "」" * N + "次": 2},
+    {"> " * N + "a. B": 2, ">" * N + "# x": 0, "- " * N: 0, "-" + "|-" * N: 0, "1. " * N + "x. B": 2, "> " + "- " * N + "x. B": 2},
+    {"a" + "." * N + "x B": 1, "あ" + "。" * N: 1, "あ" + "！" * N + "い": 2, "あ" + "!" * N + "い": 2, "a" + "…" * N + " B": 2},
+    {"λόγος " + "x" * N + "; ναι; Ναι": 2, '"' * N + "a": 1, "x " + "`" * N + "a": 1, "\n" * N + "a. B": 2, "http://" * N: 1, "ก " * 1000: 1000},
+    {"$$ a\n" * 20_000: 1, "\\begin{a}\n" * 20_000: 1, "\\[ a\n" * 20_000: 1, "$$ a\n\nb. C\n$$": 0, "\\begin{a}\n\\x\n\\end{a}\nb. C": 2},
+])
+def test_repeats_neither_overflow_nor_stall(spark, texts):
+    began = time.perf_counter()
+    assert [len(u) for u in units(spark, list(texts))] == list(texts.values())
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("text", ["It is so. ", "- It is so\n"])
+def test_time_grows_with_the_units_of_a_cell(spark, text):
+    def took(n):
+        began = time.perf_counter()
+        assert len(units(spark, [text * n])[0]) == n
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(64_000) < 5 * took(16_000)
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 128, 4097])
+def test_places_of_many_parts(spark, n):
+    parts = ["x" * (i % 7) + sentences.NO_PROSE * (i % 2) for i in range(n)]
+    df = spark.createDataFrame([(parts,)], "p array<string>").repartition(2)
+    got = df.select(sentences._starts(df.p, less=sentences.NO_PROSE).alias("s")).first().s
+    assert got[:n] == [sum(k % 7 for k in range(i)) for i in range(n)]
+
+
+def test_marks_at_the_end_of_a_block_belong_to_the_unit(spark):
+    whole = [["本当ですか？！"], ["真的吗？！"], ["好。。"], ["真的?! ", "次"], ["そう！？", "次。"]]
+    assert [[u.strip() for u in x] for x in units(spark, ["".join(x) for x in whole])] == [[u.strip() for u in x] for x in whole]
+
+
 def test_restored_text(spark):
     text = 'Dr. Ken said: "No. Never!" at 3.5 p.m. Monday.'
     row = sentences.sentences(spark.createDataFrame([(1, text, [("markdown", None, 0, len(text))], "", "")], SCHEMA), "doc_id", "text", "cells").first()
