@@ -1,11 +1,13 @@
 """Exactly one copy of every message that was delivered at least once.
 
-Identifiers are split by their frequency, counted with map-side partial sums. Messages whose
-identifier occurs once go straight through; only the repeated groups are ranked; both are united.
-
-An identifier may hold a third of all rows. The join that marks repeated identifiers is therefore
-salted by the input partition (the side of repeated identifiers is copied once per salt), and the
-rank is cut to its first row inside every task before the rows of one identifier meet.
+Identifiers are split by their frequency, which a scan of the identifiers alone counts with map-side
+partial sums. Hashes of the repeated ones are set in a bitmap of fixed size, which is sent to all tasks.
+A message whose bit is not set is a singleton for certain and passes where it was read; the rest,
+repeated ones and the few singletons that share a bit with them, are ranked by identifier. Both results
+are united.
+
+An identifier may hold a third of all rows: the count is summed and the rank is cut to its first row
+inside every task, so each task sends one row of it. No join meets rows before they are cut.
 """
 
 from __future__ import annotations
@@ -13,31 +15,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ID, N, SALT = "_msg_id", "_msg_copies", "_msg_salt"
-SALTS = 16
+ID, N = "_msg_id", "_msg_copies"
+_OWN = (ID, N, "_msg_rank", "_msg_bucket", "_msg_bits")
+#: Bits of one bitmap, as Spark's bitmap functions define it, and number of bitmaps: 16 MB, whatever the data.
+BUCKET_BITS = 32_768
+BUCKETS = 4_096
 
 
 def _keyed(df: DataFrame, identity: Column) -> DataFrame:
-    """``df`` with its identity; columns under the operator's own names are replaced."""
-    return df.drop(ID, N, SALT, "_msg_rank").withColumn(ID, identity)
+    """``df`` with its identity; columns under the operator's own names are replaced.
+
+    It is generated, not projected: the planner would work a projected one out again in every filter
+    that it infers and pushes down.
+    """
+    return df.drop(*_OWN).select("*", F.explode(F.array(identity)).alias(ID))
 
 
 def _repeated(keyed: DataFrame) -> DataFrame:
-    """Identifiers that two or more rows carry with their frequency, once per salt."""
-    frequency = keyed.filter(F.col(ID).isNotNull()).groupBy(ID).agg(F.count(F.lit(1)).alias(N))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return frequency.filter(F.col(N) > 1).select(ID, N, salts.alias(SALT))
+    """Identifiers that two or more rows carry, with their frequency."""
+    return keyed.groupBy(ID).agg(F.count(ID).alias(N)).filter(F.col(N) > 1)
+
+
+def _place() -> Column:
+    """The bit of an identifier, from 1; 0, which is in no bitmap, for none."""
+    return F.when(F.col(ID).isNull(), 0).otherwise(F.pmod(F.xxhash64(ID), F.lit(BUCKETS * BUCKET_BITS)) + 1)
+
+
+def _bitmaps(repeated: DataFrame) -> DataFrame:
+    """At most BUCKETS rows with the bits of the repeated identifiers."""
+    bucket = F.bitmap_bucket_number(_place())
+    # Only places move; bitmaps are made once each, where their places meet.
+    placed = repeated.select(bucket.alias("_msg_bucket"), F.bitmap_bit_position(_place()).alias("_at")).repartition("_msg_bucket")
+    return placed.groupBy("_msg_bucket").agg(F.bitmap_construct_agg("_at").alias("_msg_bits"))
+
+
+def _is_set() -> Column:
+    """Whether the bit of an identifier is set in ``_msg_bits``."""
+    at = F.bitmap_bit_position(_place())
+    byte = F.conv(F.hex(F.substring("_msg_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    return F.getbit(byte.cast("int"), (at % 8).cast("int")) == 1
 
 
-def _salted(keyed: DataFrame) -> DataFrame:
-    """Rows spread by the partition they come from; those without identifier, which join nothing, widely."""
-    salt = F.when(F.col(ID).isNull(), F.monotonically_increasing_id() % (1 << 20)).otherwise(F.spark_partition_id() % SALTS)
-    return keyed.withColumn(SALT, salt.cast("int"))
+def _split(keyed: DataFrame, repeated: DataFrame, how: str) -> DataFrame:
+    """The rows that may be repeated (``left_semi``), or those that are not for certain (``left_anti``)."""
+    maps = F.broadcast(_bitmaps(repeated))  # BUCKETS rows of BUCKET_BITS bits at most
+    return keyed.join(maps, (F.bitmap_bucket_number(_place()) == F.col("_msg_bucket")) & _is_set(), how)
 
 
-def _first(copies: DataFrame, order: list[Column]) -> DataFrame:
+def _ranked(keyed: DataFrame, repeated: DataFrame, order: list[Column], how: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(ID).orderBy(*order))
-    return copies.withColumn("_msg_rank", rank).filter(F.col("_msg_rank") == 1).drop("_msg_rank")
+    first = _split(keyed, repeated, "left_semi").withColumn("_msg_rank", rank).filter(F.col("_msg_rank") == 1)
+    # Both sides lie by identifier already.
+    return first.join(repeated, ID, how).select(*keyed.columns, N)
 
 
 def ranked_repeats(df: DataFrame, identity: Column, order: list[Column]) -> DataFrame:
@@ -47,20 +76,22 @@ def ranked_repeats(df: DataFrame, identity: Column, order: list[Column]) -> Data
     one of them is kept. An empty table and one without repeated identifiers give no row.
     """
     keyed = _keyed(df, identity)
-    return _first(_salted(keyed).join(_repeated(keyed), [ID, SALT]), order).select(*keyed.columns, N)
+    return _ranked(keyed, _repeated(keyed), order, "inner")
 
 
 def exactly_once(df: DataFrame, identity: Column, order: list[Column]) -> DataFrame:
     """``df`` with one row of each identifier, and ``_msg_id`` and ``_msg_copies`` after its columns.
 
-    Rows without identifier (null) can not be told to be copies and all stay, with ``_msg_copies`` 1.
+    Rows without identifier (null) can not be told to be copies and all stay, with ``_msg_copies`` 1. The
+    table is read three times, once for its identifiers alone, as what passes and what is ranked come
+    from it apart; in return nothing of a singleton moves. ``df`` must give the same rows each time.
     """
     keyed = _keyed(df, identity)
-    # Both branches read the same join of the same exchange.
-    marked = _salted(keyed).join(_repeated(keyed), [ID, SALT], "left").select(*keyed.columns, N)
-    single = marked.filter(F.col(N).isNull()).withColumn(N, F.lit(1).cast("bigint"))
-    kept = _first(marked.filter(F.col(N).isNotNull()), order)
-    return single.unionByName(kept)
+    repeated = _repeated(keyed)
+    one = F.lit(1).cast("bigint")
+    single = _split(keyed, repeated, "left_anti").withColumn(N, one)
+    ranked = _ranked(keyed, repeated, order, "left").withColumn(N, F.coalesce(N, one))
+    return single.unionByName(ranked)
 
 
 def exactly_once_incremental(

@@ -28,6 +28,31 @@ def test_one_of_each_and_the_best(spark):
         assert r["_msg_copies"] == (303 if k == 0 else 3 if k < 10 else 2 if k < 40 else 1)
 
 
+def test_one_identifier_with_a_third_of_all_rows_moves_one_row_a_task(spark):
+    rows = spark.range(0, 30_000, 1, 6).selectExpr(
+        "if(id % 3 = 0, repeat('a', 32), lpad(hex(id), 32, '0')) event_id", "id n", "'' extra", "'' _msg_id"
+    )
+    out = delivery.exactly_once(rows, hex_identity(F.col("event_id")), [F.col("n").desc()])
+    got = {r["_msg_id"]: (r.n, r["_msg_copies"]) for r in out.collect()}
+    assert len(got) == 20_001 and got["a" * 32] == (29_997, 10_000)
+    assert all(copies == 1 for k, (_, copies) in got.items() if k != "a" * 32)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    # Full rows meet in one exchange only, behind the cut of each task.
+    assert final.count("WindowGroupLimit") == 2 and "Partial" in final
+
+
+def test_singletons_that_share_a_bit_are_singletons(spark, monkeypatch):
+    monkeypatch.setattr(delivery, "BUCKETS", 1)
+    monkeypatch.setattr(delivery, "BUCKET_BITS", 8)
+    rows = [(f"{i:032x}", 1, "x", None) for i in range(300)] + [(f"{i:032x}", 2, "y", None) for i in range(20)] + [(None, 1, "z", None)] * 4
+    got = [(r["_msg_id"], r.n, r["_msg_copies"]) for r in kept(spark, rows).collect()]
+    want = [(f"{i:032x}", 2 if i < 20 else 1, 2 if i < 20 else 1) for i in range(300)] + [(None, 1, 1)] * 4
+    assert sorted(got, key=str) == sorted(want, key=str)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert delivery.ranked_repeats(df, hex_identity(F.col("event_id")), [F.col("n")]).count() == 20
+
+
 def test_rows_without_identifier_all_stay(spark):
     rows = [(None, 1, None, None)] * 3 + [("", 1, None, None), (" ", 1, None, None), ("short", None, None, None), ("SHORT ", 2, None, None)]
     got = sorted((r["_msg_id"] or "", r["_msg_copies"], r.n or 0) for r in kept(spark, rows).collect())
