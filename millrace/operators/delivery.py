@@ -16,36 +16,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ID, N = "_msg_id", "_msg_copies"
-_OWN = (ID, N, "_msg_rank", "_msg_bucket", "_msg_bits")
+#: The identifier as it is worked with: never null, empty for none. So the planner infers no filters on it, which
+#: would work it out again and keep branches from sharing an exchange.
+KEY = "_msg_key"
+_OWN = (ID, N, KEY, "_msg_rank", "_msg_bucket", "_msg_bits")
 #: Bits of one bitmap, as Spark's bitmap functions define it, and number of bitmaps: 16 MB, whatever the data.
 BUCKET_BITS = 32_768
 BUCKETS = 4_096
 
 
 def _keyed(df: DataFrame, identity: Column) -> DataFrame:
-    """``df`` with its identity; columns under the operator's own names are replaced.
-
-    It is generated, not projected: the planner would work a projected one out again in every filter
-    that it infers and pushes down.
-    """
-    return df.drop(*_OWN).select("*", F.explode(F.array(identity)).alias(ID))
+    """``df`` with its KEY; columns under the operator's own names are replaced."""
+    return df.drop(*_OWN).withColumn(KEY, F.coalesce(F.concat(F.lit("="), identity.cast("string")), F.lit("")))
 
 
 def _repeated(keyed: DataFrame) -> DataFrame:
     """Identifiers that two or more rows carry, with their frequency."""
-    return keyed.groupBy(ID).agg(F.count(ID).alias(N)).filter(F.col(N) > 1)
+    return keyed.groupBy(KEY).agg(F.count(F.when(F.col(KEY) != "", 1)).alias(N)).filter(F.col(N) > 1)
 
 
 def _place() -> Column:
     """The bit of an identifier, from 1; 0, which is in no bitmap, for none."""
-    return F.when(F.col(ID).isNull(), 0).otherwise(F.pmod(F.xxhash64(ID), F.lit(BUCKETS * BUCKET_BITS)) + 1)
+    return F.when(F.col(KEY) == "", 0).otherwise(F.pmod(F.xxhash64(KEY), F.lit(BUCKETS * BUCKET_BITS)) + 1)
+
+
+def _bucket() -> Column:
+    """The bitmap of an identifier; never null, for the reason given at KEY."""
+    return F.coalesce(F.bitmap_bucket_number(_place()), F.lit(0).cast("bigint"))
 
 
 def _bitmaps(repeated: DataFrame) -> DataFrame:
     """At most BUCKETS rows with the bits of the repeated identifiers."""
-    bucket = F.bitmap_bucket_number(_place())
     # Only places move; bitmaps are made once each, where their places meet.
-    placed = repeated.select(bucket.alias("_msg_bucket"), F.bitmap_bit_position(_place()).alias("_at")).repartition("_msg_bucket")
+    placed = repeated.select(_bucket().alias("_msg_bucket"), F.bitmap_bit_position(_place()).alias("_at")).repartition("_msg_bucket")
     return placed.groupBy("_msg_bucket").agg(F.bitmap_construct_agg("_at").alias("_msg_bits"))
 
 
@@ -59,14 +62,19 @@ def _is_set() -> Column:
 def _split(keyed: DataFrame, repeated: DataFrame, how: str) -> DataFrame:
     """The rows that may be repeated (``left_semi``), or those that are not for certain (``left_anti``)."""
     maps = F.broadcast(_bitmaps(repeated))  # BUCKETS rows of BUCKET_BITS bits at most
-    return keyed.join(maps, (F.bitmap_bucket_number(_place()) == F.col("_msg_bucket")) & _is_set(), how)
+    return keyed.join(maps, (_bucket() == F.col("_msg_bucket")) & _is_set(), how)
 
 
 def _ranked(keyed: DataFrame, repeated: DataFrame, order: list[Column], how: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(ID).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(*order))
     first = _split(keyed, repeated, "left_semi").withColumn("_msg_rank", rank).filter(F.col("_msg_rank") == 1)
     # Both sides lie by identifier already.
-    return first.join(repeated, ID, how).select(*keyed.columns, N)
+    return first.join(repeated, KEY, how)
+
+
+def _told(rows: DataFrame, df: DataFrame) -> DataFrame:
+    own = F.when(F.col(KEY) != "", F.substring(KEY, 2, 1 << 30)).alias(ID)
+    return rows.select(*[c for c in df.columns if c not in _OWN], own, N)
 
 
 def ranked_repeats(df: DataFrame, identity: Column, order: list[Column]) -> DataFrame:
@@ -76,7 +84,7 @@ def ranked_repeats(df: DataFrame, identity: Column, order: list[Column]) -> Data
     one of them is kept. An empty table and one without repeated identifiers give no row.
     """
     keyed = _keyed(df, identity)
-    return _ranked(keyed, _repeated(keyed), order, "inner")
+    return _told(_ranked(keyed, _repeated(keyed), order, "inner"), df)
 
 
 def exactly_once(df: DataFrame, identity: Column, order: list[Column]) -> DataFrame:
@@ -91,7 +99,7 @@ def exactly_once(df: DataFrame, identity: Column, order: list[Column]) -> DataFr
     one = F.lit(1).cast("bigint")
     single = _split(keyed, repeated, "left_anti").withColumn(N, one)
     ranked = _ranked(keyed, repeated, order, "left").withColumn(N, F.coalesce(N, one))
-    return single.unionByName(ranked)
+    return _told(single.unionByName(ranked.select(*single.columns)), df)
 
 
 def exactly_once_incremental(
