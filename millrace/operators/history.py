@@ -1,14 +1,17 @@
 """Bitemporal history of changing attributes.
 
-Observations of an entity come in any order. The ledger keeps, for every stretch of valid time, what
-was observed at its start and for which stretch of recorded time the ledger said so. A late
-observation splits the interval it falls into: the earlier row is superseded (its recorded time is
-closed) and its parts are recorded anew; nothing is overwritten, so the history as known at any
-earlier time can still be read.
-
-An entity may hold a third of all observations. Valid time is cut into slices; the sweep runs over
-one slice of one entity at a time, holding only that slice, and ledger rows are clipped to it. Values
-carried from slice to slice are worked out from one summary row per slice.
+Observations of an entity come in any order. The ledger keeps for each field, for every stretch of
+valid time, the value observed at its start and for which stretch of recorded time the ledger said so.
+A late observation splits the interval it falls into, wherever that began: the earlier row is superseded
+(its recorded time is closed) and its parts are recorded anew; nothing is overwritten. So for any instant and
+any recorded time from the first observation on there is exactly one row of a field, and the history as
+known at any earlier time can be read.
+
+An entity may hold a third of all observations. Valid time is cut into slices, and the sweep runs over
+one slice of one field of one entity at a time. Where the last interval of a slice ends depends on
+later slices: on the first start in the next slice that is known at a recorded time. Those first starts, which
+are few (an observation is one only if it comes before all others of its slice that were recorded earlier),
+are swept per entity on their own, and handed to each slice as further events of its sweep.
 """
 
 from __future__ import annotations
@@ -19,135 +22,177 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.session import cut
 
-DAY_US = 86_400_000_000
+#: Width of the slices in which one field of one entity is swept.
+SLICE_US = 21_600_000_000
 #: Recorded time of what was known before the observations began.
 BEFORE_ALL = -(1 << 62)
+OWN = ["entity", "field", "value", "valid_from_us", "valid_to_us", "recorded_from_us", "recorded_to_us"]
 
 
 class _Slice:
-    """The sweep over one slice of one entity, in recorded order.
+    """The sweep over one slice of one field of one entity, in recorded order.
 
-    ``starts`` holds the starts of the current intervals; ``rows`` maps each start to its current
-    row [recorded_from, values]. Closed rows are handed to ``emit``.
+    ``starts`` holds the starts of the current intervals; ``rows`` maps each start to its current row
+    [recorded_from, value]; ``after`` is where the last interval ends, in a later slice (None: open).
+    Closed rows are handed to ``emit``.
     """
 
     def __init__(self, emit) -> None:
         self.starts: list[int] = []
         self.rows: dict[int, list] = {}
+        self.after: int | None = None
         self.emit = emit
 
-    def end(self, i: int) -> int | None:
-        return self.starts[i + 1] if i + 1 < len(self.starts) else None
+    def _supersede(self, i: int, recorded: int) -> None:
+        """Closes the row of interval ``i`` in recorded time and records it anew; its end is about to change."""
+        start = self.starts[i]
+        since, value = self.rows[start]
+        if since < recorded:
+            self.emit(value, start, self._end(i), since, recorded)
+            self.rows[start] = [recorded, value]
 
-    def observe(self, valid: int, recorded: int, values: tuple) -> None:
+    def _end(self, i: int) -> int | None:
+        return self.starts[i + 1] if i + 1 < len(self.starts) else self.after
+
+    def observe(self, valid: int, recorded: int, value: str) -> None:
         i = bisect_left(self.starts, valid)
         if i < len(self.starts) and self.starts[i] == valid:
-            since, old = self.rows[valid]
-            new = tuple(o if v is None else v for v, o in zip(values, old))
-            if new == old:
-                return
-            if since < recorded:
-                self.emit(valid, self.end(i), since, recorded, old)
-            self.rows[valid] = [recorded, new]
+            if self.rows[valid][1] != value:
+                self._supersede(i, recorded)
+                self.rows[valid] = [recorded, value]
             return
         if i:
-            before = self.starts[i - 1]
-            since, old = self.rows[before]
-            if since < recorded:
-                self.emit(before, self.end(i - 1), since, recorded, old)
-                self.rows[before] = [recorded, old]
+            self._supersede(i - 1, recorded)
         insort(self.starts, valid)
-        self.rows[valid] = [recorded, values]
+        self.rows[valid] = [recorded, value]
+
+    def follow(self, after: int, recorded: int) -> None:
+        """A later slice is now known to begin at ``after``."""
+        if after != self.after:
+            if self.starts:
+                self._supersede(len(self.starts) - 1, recorded)
+            self.after = after
 
     def close(self) -> None:
         for i, start in enumerate(self.starts):
-            since, values = self.rows[start]
-            self.emit(start, self.end(i), since, None, values)
+            since, value = self.rows[start]
+            self.emit(value, start, self._end(i), since, None)
+
+
+def _rows_of(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    for c in columns:
+        c.clear()
+    return batch
+
 
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ledger rows of events (entity, field, slice, recorded, valid, value, after), in order of the first four."""
+    kinds = [pa.string()] * 3 + [pa.int64()] * 4
+    out: list[list] = [[] for _ in OWN]
+    group, state = None, None
 
-def _sweep(n_fields: int, slice_us: int):
-    names = ["entity", "slice", "valid_from_us", "valid_to_us", "recorded_from_us", "recorded_to_us"]
-    names += [f"f{i}" for i in range(n_fields)]
-    kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * n_fields]
+    def emitter(entity: str, field: str):
+        def emit(value, start, end, since, until) -> None:
+            for column, x in zip(out, (entity, field, value, start, end, since, until)):
+                column.append(x)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in names]
-        group, state = None, None
+        return emit
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-            for c in out:
-                c.clear()
-            return batch
+    for batch in batches:
+        for entity, field, part, recorded, valid, value, after in zip(*(c.to_pylist() for c in batch.columns)):
+            if group != (entity, field, part):
+                if state:
+                    state.close()
+                group, state = (entity, field, part), _Slice(emitter(entity, field))
+            if valid is None:
+                state.follow(after, recorded)
+            else:
+                state.observe(valid, recorded, value)
+        if len(out[0]) > 20_000:
+            yield _rows_of(out, kinds, OWN)
+    if state:
+        state.close()
+    yield _rows_of(out, kinds, OWN)
 
-        def emitter(entity: str, part: int):
-            seam = (part + 1) * slice_us
 
-            def emit(start, end, since, until, values) -> None:
-                row = (entity, part, start, seam if end is None else end, since, until, *values)
-                for column, value in zip(out, row):
-                    column.append(value)
+_SEAM = ["entity", "field", "slice", "recorded", "after"]
 
-            return emit
 
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for entity, part, valid, recorded, *values in zip(*columns):
-                if group != (entity, part):
-                    if state:
-                        state.close()
-                    group, state = (entity, part), _Slice(emitter(entity, part))
-                state.observe(valid, recorded, tuple(values))
-            if len(out[0]) > 20_000:
-                yield flush()
-        if state:
-            state.close()
-        yield flush()
+def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the last interval of each slice ends from which recorded time on.
 
-    return run
+    Of first starts (entity, field, recorded, valid, slice), in order of the first three. Holds the known slices
+    of one field of one entity and the first start of each.
+    """
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    out: list[list] = [[] for _ in _SEAM]
+    group, slices, first = None, [], {}
+
+    def tell(*row) -> None:
+        for column, x in zip(out, row):
+            column.append(x)
+
+    for batch in batches:
+        for entity, field, recorded, valid, part in zip(*(c.to_pylist() for c in batch.columns)):
+            if group != (entity, field):
+                group, slices, first = (entity, field), [], {}
+            i = bisect_left(slices, part)
+            if part not in first:
+                insort(slices, part)
+                if i + 1 < len(slices):
+                    tell(entity, field, part, recorded, first[slices[i + 1]])
+            first[part] = valid
+            if i:
+                tell(entity, field, slices[i - 1], recorded, valid)
+        if len(out[0]) > 20_000:
+            yield _rows_of(out, kinds, _SEAM)
+    yield _rows_of(out, kinds, _SEAM)
 
 
 def ledger(
     observations: DataFrame, entity: str, valid_us: str, recorded_us: str, order: str, fields: list[str],
-    slice_us: int = DAY_US,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
-    """The bitemporal ledger of ``observations``.
-
-    Columns: entity, slice, valid_from_us, valid_to_us, recorded_from_us, recorded_to_us and the
-    fields. ``recorded_to_us`` is null for current rows. A null field was not reported at that instant
-    and inherits (see ``current_values``). At one instant the value recorded last counts, for each field
-    alone; ties of recorded time go by ``order``, then by the values. Observations without entity, valid
-    or recorded time are void. Repeated and unchanged observations add nothing.
+    """The bitemporal ledger of ``observations``, one set of rows for each of ``fields``.
+
+    Columns: entity, field, value, valid_from_us, valid_to_us, recorded_from_us, recorded_to_us. Intervals are
+    [from, to); ``valid_to_us`` null is open, ``recorded_to_us`` null is the row in force. At any recorded time the
+    intervals of a field follow each other without gap from its first observation on. A null field was not
+    reported and says nothing. At one instant the value recorded last counts; ties of recorded time go by
+    ``order``, then by the value. Observations without entity, valid or recorded time are void. Repeated
+    observations add nothing; an unchanged value at another instant begins an interval, as a late one may come
+    between. An empty table gives no row.
     """
-    longs = ("slice", "valid_from_us", "valid_to_us", "recorded_from_us", "recorded_to_us")
-    if clash := {"entity", *longs} & set(fields):
-        raise ValueError(f"fields must not be called {', '.join(sorted(clash))}")
-    fs = [f"f{i}" for i in range(len(fields))]
-    base = observations.select(
-        F.col(entity).cast("string").alias("entity"),
-        F.floor(F.col(valid_us) / slice_us).alias("slice"),
-        F.col(valid_us).cast("bigint").alias("valid"),
-        F.col(recorded_us).cast("bigint").alias("recorded"),
-        F.col(order).cast("bigint").alias("seq"),
-        *[F.col(c).cast("string").alias(f) for c, f in zip(fields, fs)],
-    ).dropna(subset=["entity", "valid", "recorded"])
-    told = base.groupBy("entity", "slice", "valid", "recorded", *fs).agg(F.max("seq").alias("seq"))
-    swept = (
-        told.repartition("entity", "slice")
-        .sortWithinPartitions("entity", "slice", "recorded", "seq", *fs)
-        .select("entity", "slice", "valid", "recorded", *fs)
+    told = observations.select(
+        F.col(entity).cast("string").alias("entity"), F.col(valid_us).cast("bigint").alias("valid"),
+        F.col(recorded_us).cast("bigint").alias("recorded"), F.col(order).cast("bigint").alias("seq"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x"),
+    ).select("entity", "x.field", F.floor(F.col("valid") / slice_us).alias("slice"), "recorded", "valid", "x.value", "seq")
+    group = ["entity", "field", "slice"]
+    # All that follows keeps to one exchange of the observations where the planner sees that it can.
+    told = told.dropna(subset=["entity", "valid", "recorded", "value"]).repartition(*group)
+    told = told.groupBy(*group, "recorded", "valid").agg(F.max(F.struct("seq", "value")).alias("x")).select(
+        *group, "recorded", "valid", "x.value"
+    )
+    before = Window.partitionBy(*group).orderBy("recorded", "valid").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = told.withColumn("_least", F.min("valid").over(before)).filter("_least is null or valid < _least")
+    # The greater slice first, so that each tells where the one before it ends.
+    firsts = firsts.repartition("entity", "field").sortWithinPartitions("entity", "field", "recorded", F.col("slice").desc(), F.col("valid").desc())
+    seams = firsts.select("entity", "field", "recorded", "valid", "slice").mapInArrow(
+        _seams, "entity string, field string, slice bigint, recorded bigint, after bigint"
     )
-    schema = T.StructType(
-        [T.StructField("entity", T.StringType())]
-        + [T.StructField(c, T.LongType()) for c in longs]
-        + [T.StructField(f, T.StringType()) for f in fs]
+    none = F.lit(None)
+    events = told.withColumn("after", none.cast("bigint")).unionByName(
+        seams.select(*group, "recorded", none.cast("bigint").alias("valid"), none.cast("string").alias("value"), "after")
     )
-    rows = swept.mapInArrow(_sweep(len(fields), slice_us), schema)
-    return rows.select("entity", *longs, *[F.col(f).alias(c) for f, c in zip(fs, fields)])
+    # Starts may come nearer but never go: of those told at one instant the least counts, and is told last.
+    swept = events.repartition(*group).sortWithinPartitions(*group, "recorded", F.col("after").desc_nulls_first())
+    schema = ", ".join(f"{c} {'string' if i < 3 else 'bigint'}" for i, c in enumerate(OWN))
+    return swept.select(*group, "recorded", "valid", "value", "after").mapInArrow(_sweep, schema)
 
 
 def as_known(rows: DataFrame, at_us: int | None = None) -> DataFrame:
@@ -158,51 +203,64 @@ def as_known(rows: DataFrame, at_us: int | None = None) -> DataFrame:
     return rows.filter((F.col("recorded_from_us") <= at_us) & (until.isNull() | (until > at_us)))
 
 
-def current_values(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """``rows`` of one recorded time with inherited values filled in, and ``before_<field>``.
+def values_at(rows: DataFrame, valid_us: int, at_us: int | None = None) -> DataFrame:
+    """The ledger rows of one instant as known at a recorded time: one for each field that had a value then."""
+    until = F.col("valid_to_us")
+    return as_known(rows, at_us).filter((F.col("valid_from_us") <= valid_us) & (until.isNull() | (until > valid_us)))
+
+
+_FROM, _TO, _SLICE = "valid_from_us", "valid_to_us", "_slice"
+_OPEN = (1 << 63) - 1
 
-    ``before_<field>`` is the value in force just before the row, null at the entity's beginning.
+
+def _pieces(rows: DataFrame, fields: list[str], slice_us: int) -> DataFrame:
+    """The instants at which an interval of some field begins, with the values in force and how long all of them last.
+
+    A field's interval that began in an earlier slice is told by one summary row of that slice.
     """
-    order = Window.partitionBy("entity", "slice").orderBy("valid_from_us")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = rows.groupBy("entity", "slice").agg(
-        *[
-            F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("valid_from_us"))).alias(f)
-            for f in fields
-        ]
-    )
-    across = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(
-        "entity", "slice", *[F.last(f, ignorenulls=True).over(across).alias(f"_c_{f}") for f in fields]
-    )
-    filled = rows.join(carried, ["entity", "slice"], "left")
+    tile = lambda f: F.when(F.col("field") == f, F.struct("value", F.coalesce(_TO, F.lit(_OPEN)).alias("to")))
+    sliced = rows.withColumn(_SLICE, F.floor(F.col(_FROM) / slice_us))
+    last = sliced.groupBy("entity", _SLICE).agg(*[F.max_by(tile(f), F.when(F.col("field") == f, F.col(_FROM))).alias(f) for f in fields])
+    earlier = Window.partitionBy("entity").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("entity", _SLICE, *[F.last(f, ignorenulls=True).over(earlier).alias(f"_c_{f}") for f in fields])
+    order = Window.partitionBy("entity", _SLICE).orderBy(_FROM)
+    upto, before = (order.rangeBetween(Window.unboundedPreceding, e) for e in (Window.currentRow, -1))
+    now = {f"_n_{f}": F.coalesce(F.last(tile(f), ignorenulls=True).over(upto), F.col(f"_c_{f}")) for f in fields}
+    old = {f"_o_{f}": F.coalesce(F.last(tile(f), ignorenulls=True).over(before), F.col(f"_c_{f}")) for f in fields}
+    filled = sliced.join(carried, ["entity", _SLICE], "left").withColumns({**now, **old})
+    differs = F.lit(False)
     for f in fields:
-        filled = filled.withColumn(f, F.coalesce(F.last(f, ignorenulls=True).over(upto), F.col(f"_c_{f}")))
-    first = F.row_number().over(order) == 1
-    return filled.withColumns(
-        {f"before_{f}": F.when(first, F.col(f"_c_{f}")).otherwise(F.lag(f).over(order)) for f in fields}
-    ).drop(*[f"_c_{f}" for f in fields])
+        differs |= ~F.col(f"_n_{f}.value").eqNullSafe(F.col(f"_o_{f}.value"))
+    return filled.select(
+        "entity", _SLICE, _FROM, *[F.col(f"_n_{f}.value").alias(f) for f in fields],
+        F.least(F.lit(_OPEN), *[F.col(f"_n_{f}.to") for f in fields]).alias(_TO), differs.alias("_begins"),
+    )
 
 
-def versions(rows: DataFrame, fields: list[str], at_us: int | None = None) -> DataFrame:
+def versions(rows: DataFrame, fields: list[str], at_us: int | None = None, slice_us: int = SLICE_US) -> DataFrame:
     """The history read off a ledger: entity, fields, valid_from_us, valid_to_us (null: open).
 
-    A version begins where any field differs from the value in force just before and ends where the
-    next begins. Before the first known value of any field there is no version. An empty ledger has none.
+    A version begins where any field differs from the value in force just before. It lasts as long as the
+    ledger's intervals of its values do: pieces of time in which no field has a new interval are put
+    together, and the version ends with the last of them. Before the first known value of any field there is
+    no version. An empty ledger has none.
     """
     # The sweep must not run again for each of the summaries that are taken over its rows.
-    filled = current_values(cut(as_known(rows, at_us)), fields)
-    differs = F.lit(False)
-    for f in fields:
-        differs |= ~F.col(f).eqNullSafe(F.col(f"before_{f}"))
-    begun = filled.filter(differs).select("entity", "slice", "valid_from_us", *fields)
-    ahead = Window.partitionBy("entity").orderBy("slice")
-    later = begun.groupBy("entity", "slice").agg(F.min("valid_from_us").alias("_first"))
-    later = later.select("entity", "slice", F.lead("_first").over(ahead).alias("_next_slice"))
-    order = Window.partitionBy("entity", "slice").orderBy("valid_from_us")
-    return begun.join(later, ["entity", "slice"]).select(
-        "entity",
-        *fields,
-        "valid_from_us",
-        F.coalesce(F.lead("valid_from_us").over(order), F.col("_next_slice")).alias("valid_to_us"),
+    pieces = _pieces(cut(as_known(rows, at_us)), fields, slice_us)
+    begun = F.max(F.when(F.col("_begins"), F.col(_FROM))).over(
+        Window.partitionBy("entity", _SLICE).orderBy(_FROM).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    # Every slice leaves its versions and, before the first of them, a rest of one that began in an earlier slice.
+    parts = pieces.withColumn("_begun", begun).groupBy("entity", _SLICE, "_begun").agg(
+        *[F.max(F.when(F.col(_FROM) == F.col("_begun"), F.col(f))).alias(f) for f in fields], F.max(_TO).alias(_TO)
+    )
+    # Rests belong to the last version before them. Only one row of each slice decides which that is.
+    late = parts.groupBy("entity", _SLICE).agg(F.max("_begun").alias("_last"), F.max(F.when(F.col("_begun").isNull(), F.col(_TO))).alias("_rest"))
+    earlier = Window.partitionBy("entity").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    rests = late.withColumn("_begun", F.last("_last", ignorenulls=True).over(earlier)).filter("_rest is not null")
+    rests = rests.groupBy("entity", "_begun").agg(F.max("_rest").alias("_rest"))
+    own = parts.filter("_begun is not null")
+    end = F.greatest(F.col(_TO), F.col("_rest"))
+    return own.join(rests, ["entity", "_begun"], "left").select(
+        "entity", *fields, F.col("_begun").alias(_FROM), F.when(end < _OPEN, end).alias(_TO)
     )

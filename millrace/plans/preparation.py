@@ -64,19 +64,22 @@ def p1_as_known(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger itself, superseded rows included."""
+    """The ledger itself: of each field every row, those superseded by later knowledge included."""
     return _ledger(spark, d).withColumnRenamed("entity", "machine_id")
 
 
-def _p1_sql(columns: str, known: str = "true") -> str:
-    return f"""
+_OBSERVED_SQL = f"""
 with obs as (
-  select machine_id, epoch_us(valid_from) v, -1 r, 0 s,
+  select machine_id, epoch_us(valid_from) v, {history.BEFORE_ALL} r, 0 s,
     nullif(upper(trim(status_value)), '') a, nullif(lower(trim(firmware_version)), '') b from silver_dim_machines
   union all
   select machine_id, epoch_us(snapshot_at), epoch_us(received_at), snapshot_no,
     nullif(upper(trim(status_value)), ''), nullif(lower(trim(firmware_version)), '')
-  from machine_snapshots where snapshot_at <= received_at),
+  from machine_snapshots where snapshot_at <= received_at)"""
+
+
+def _p1_sql(columns: str, known: str = "true") -> str:
+    return f"""{_OBSERVED_SQL},
 told as (select * from obs where trim(machine_id) <> '' and {known}),
 inst as (
   select machine_id, v, arg_max(a, (r, s)) filter (where a is not null) a,
@@ -94,6 +97,28 @@ select {columns} from (
     lead(v) over (partition by machine_id order by v) valid_to_us from begun)"""
 
 
+#: By definition: what holds at a start changes when it is told again and when a start behind it comes nearer.
+_P1_LEDGER_SQL = f"""{_OBSERVED_SQL},
+told as (
+  select machine_id, 'status_value' field, v, r, arg_max(a, (s, a)) x from obs where a is not null and trim(machine_id) <> '' group by 1, 2, 3, 4 union all
+  select machine_id, 'firmware_version', v, r, arg_max(b, (s, b)) from obs where b is not null and trim(machine_id) <> '' group by 1, 2, 3, 4),
+starts as (select machine_id, field, v, min(r) known from told group by 1, 2, 3),
+changes as (
+  select machine_id, field, v, r from told union
+  select a.machine_id, a.field, a.v, greatest(a.known, b.known) from starts a join starts b
+    on b.machine_id = a.machine_id and b.field = a.field and b.v > a.v),
+states as (
+  select c.machine_id, c.field, c.v, c.r, arg_max(t.x, t.r) x, min(b.v) e from changes c
+  join told t on t.machine_id = c.machine_id and t.field = c.field and t.v = c.v and t.r <= c.r
+  left join starts b on b.machine_id = c.machine_id and b.field = c.field and b.v > c.v and b.known <= c.r
+  group by 1, 2, 3, 4),
+marked as (
+  select *, row_number() over w = 1 or x is distinct from lag(x) over w or e is distinct from lag(e) over w other
+  from states window w as (partition by machine_id, field, v order by r))
+select machine_id, field, x as "value", v valid_from_us, e valid_to_us, r recorded_from_us,
+  lead(r) over (partition by machine_id, field, v order by r) recorded_to_us from marked where other"""
+
+
 # ---- p2: late events
 
 
@@ -335,6 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _p1_sql("machine_id, valid_from_us, coalesce(valid_to_us, 0) valid_to_us"),
         "p1_history": _p1_sql(whole),
         "p1_as_known": _p1_sql(whole, f"r <= {AS_KNOWN_US}"),
+        "p1_ledger": _P1_LEDGER_SQL,
         "p2_found": _ONCE_SQL
         + """ select machine_id, strftime(event_day, '%Y-%m-%d') event_day, strftime(load_day, '%Y-%m-%d') load_day
         from played where revision > 0""",
