@@ -1,10 +1,11 @@
 """Passages of held-out test items in a training corpus, by a distributed positional inverted index.
 
-``build_index`` reads the corpus once and stores token postings: one row per shard of documents and
-term, with the places at which the term stands. Terms are those of the test items; every document and
-the whole of each text is read. ``search`` takes the index shard by shard: for every run of eight words of
-a test item it begins with the rarest term of the run in that shard and intersects the posting
-lists of the others, moved by their offset, until nothing or the exact matches are left.
+``build_index`` reads the corpus once. Its rows are shards of documents: the words of a shard and, for each
+word, the list of all places at which it stands. It does not depend on any test items, so it can be stored
+(``stored``) and searched with new ones. ``search`` takes the shards where they lie; nothing moves. For every
+run of eight words of a test item it begins with the places of the rarest word in that shard, moves them by the
+word's offset and keeps those at which the next rarest stands at its own offset, until nothing or the exact
+matches are left. All runs of a shard go through these steps together.
 """
 
 from __future__ import annotations
@@ -12,23 +13,26 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import checkpoint_dir, cut
+
 RUN = 8
 #: Words of a shard, after which the next begins; a longer document has a shard of its own.
-SHARD_WORDS = 3_000_000
-#: Characters of test items that are searched at once; more items are taken in blocks.
+SHARD_WORDS = 2_000_000
+#: Characters of test items that are searched at once; more items are taken in blocks, one after another.
 BLOCK_CHARS = 8_000_000
-#: The term of the row of a shard that lists its documents.
-DIRECTORY = -1
-#: Words kept free between documents, so that no run reaches from one into the next.
+#: Words kept free between documents, so that no run and no window reaches from one into the next.
 GAP = 64
+#: Places that are followed at once in the search of a shard; it only bounds memory.
+AT_ONCE = 2_000_000
 
 # Han, kana and their marks; each is a word.
 _CJK = (
@@ -63,9 +67,8 @@ def _unescaped(m: re.Match) -> str:
 
 def plain(text: str) -> str:
     """What a text says: escapes, tags and entities resolved, letters in one form, invisible ones gone."""
-    for _ in range(3):
-        if "\\" not in text:
-            break
+    # Strings in strings, however deep: every pass shortens the text or is the last.
+    while "\\" in text:
         found = _ESCAPE.sub(_unescaped, text)
         if found == text:
             break
@@ -88,44 +91,37 @@ def words(text: str | None) -> list[str]:
     return (_WORD_ASCII if text.isascii() else _WORD).findall(text)
 
 
-INDEX_SCHEMA = "shard bigint, term int, places array<int>, docs array<bigint>"
+INDEX_SCHEMA = "docs array<bigint>, begins array<int>, words array<string>, ends array<int>, places array<int>"
+_INTS = pa.list_(pa.int32())
 _INDEX_ARROW = pa.schema(
-    [("shard", pa.int64()), ("term", pa.int32()), ("places", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64()))]
+    [("docs", pa.list_(pa.int64())), ("begins", _INTS), ("words", pa.list_(pa.string())), ("ends", _INTS), ("places", _INTS)]
 )
 
 
-def build_index(df: DataFrame, id_column: str, text_column: str, terms: dict[str, int]) -> DataFrame:
-    """The positional inverted index of a corpus over ``terms`` (word to number): INDEX_SCHEMA.
+def _shard(docs: list[int], begins: list[int], said: list[list[str]]) -> pa.RecordBatch:
+    """One row: documents and where they begin, and words with their places; ``ends`` bounds the places of each word."""
+    coded = pa.array([w for found in said for w in found], pa.string()).dictionary_encode()
+    lengths = np.fromiter(map(len, said), np.int64, len(said))
+    shift = np.repeat(np.array(begins, np.int64) - (np.cumsum(lengths) - lengths), lengths)
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    places = (order + shift[order]).astype(np.int32)
+    ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary))).astype(np.int32)
+    columns = [pa.array(docs, pa.int64()), pa.array(begins, pa.int32()), coded.dictionary, pa.array(ends), pa.array(places)]
+    rows = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+    return pa.RecordBatch.from_arrays(rows, schema=_INDEX_ARROW)
+
 
-    A row holds all places of a term in a shard; places count words from the shard's beginning. The row
-    of the term DIRECTORY holds each document (``docs``) and where it begins (``places``). Null and empty
-    texts have no postings. Rows without id are not indexed. Shards are made where the documents are
+def build_index(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The positional inverted index of a corpus: INDEX_SCHEMA, a row per shard.
+
+    Every word of every text is in it, at all its places; places count words from the shard's beginning. Null
+    and empty texts have no postings. Rows without id are not indexed. Shards are made where the documents are
     read, so nothing moves, and hold at most SHARD_WORDS words (or one longer document).
     """
-    known = df.sparkSession.sparkContext.broadcast(terms)
-
-    def shard_rows(shard: int, docs: list[int], starts: list[int], ids: list, places: list) -> pa.RecordBatch:
-        all_ids, all_places = np.concatenate(ids), np.concatenate(places)
-        order = np.argsort(all_ids, kind="stable")
-        all_ids, all_places = all_ids[order], all_places[order]
-        own, first = np.unique(all_ids, return_index=True)
-        flat = np.concatenate([np.array(starts, np.int32), all_places])
-        bounds = np.concatenate([[0], first + len(starts), [len(flat)]]).astype(np.int32)
-        n = len(own) + 1
-        doc_bounds = np.full(n + 1, len(docs), np.int32)
-        doc_bounds[0] = 0
-        columns = [
-            pa.array(np.full(n, shard, np.int64)),
-            pa.array(np.concatenate([[DIRECTORY], own]).astype(np.int32)),
-            pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
-            pa.ListArray.from_arrays(pa.array(doc_bounds), pa.array(docs, pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, schema=_INDEX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = known.value.get
-        shard = TaskContext.get().partitionId() << 32
-        docs, starts, ids, places, at = [], [], [], [], 0
+        docs, begins, said, at = [], [], [], 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
@@ -133,151 +129,200 @@ def build_index(df: DataFrame, id_column: str, text_column: str, terms: dict[str
                 if not found:
                     continue
                 if docs and at + len(found) > SHARD_WORDS:
-                    yield shard_rows(shard, docs, starts, ids, places)
-                    shard += 1
-                    docs, starts, ids, places, at = [], [], [], [], 0
-                numbers = np.array([number(w, DIRECTORY) for w in found], np.int32)
-                here = np.flatnonzero(numbers >= 0)
+                    yield _shard(docs, begins, said)
+                    docs, begins, said, at = [], [], [], 0
                 docs.append(keys[i].as_py())
-                starts.append(at)
-                ids.append(numbers[here])
-                places.append((here + at).astype(np.int32))
+                begins.append(at)
+                said.append(found)
                 at += len(found) + GAP
         if docs:
-            yield shard_rows(shard, docs, starts, ids, places)
+            yield _shard(docs, begins, said)
 
     read = df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint"), text_column)
     return read.mapInArrow(run, INDEX_SCHEMA)
 
 
+def stored(index: DataFrame, path: str | None = None) -> DataFrame:
+    """``index`` written as a Parquet table and read again; in the shared folder of the session unless ``path`` is given."""
+    spark = index.sparkSession
+    path = path or f"{checkpoint_dir(spark)}/leakage-index-{uuid.uuid4().hex}"
+    index.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(INDEX_SCHEMA).parquet(path)
+
+
 class Queries:
-    """Test items as runs of term numbers."""
+    """Test items as runs of numbered words.
+
+    ``uses`` lists for each run the rows of ``items`` and the offsets in them. Items are told apart by their
+    row, so those that share an id are searched each.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.terms: dict[str, int] = {}
-        self.lengths: dict[int, int] = {}
+        numbers: dict[str, int] = {}
         runs: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for item, prompt in items:
-            numbers = [self.terms.setdefault(w, len(self.terms)) for w in words(prompt)]
-            self.lengths[item] = len(numbers)
-            for j in range(len(numbers) - RUN + 1):
-                runs.setdefault(tuple(numbers[j : j + RUN]), []).append((item, j))
-        self.runs = list(runs.items())
-
-
-def phrase(postings: dict[int, np.ndarray], run: tuple[int, ...]) -> np.ndarray:
-    """Places at which the terms of ``run`` stand in succession."""
-    none = np.empty(0, np.int32)
-    lists = [postings.get(t, none) for t in run]
-    order = sorted(range(len(run)), key=lambda k: len(lists[k]))
-    starts = lists[order[0]] - order[0]
-    for k in order[1:]:
-        if not len(starts):
-            break
-        sought, among = starts + k, lists[k]
-        at = np.searchsorted(among, sought)
-        at[at == len(among)] = len(among) - 1
-        starts = starts[among[at] == sought]
-    return starts
-
-
-def near(postings: dict[int, np.ndarray], run: tuple[int, ...], slop: int) -> np.ndarray:
-    """Places of the rarest term of ``run`` with all other terms at most len(run) + slop - 1 words away."""
-    none = np.empty(0, np.int32)
-    lists = sorted((postings.get(t, none) for t in set(run)), key=len)
-    places, reach = lists[0], len(run) + slop - 1
-    for among in lists[1:]:
-        if not len(places):
-            break
-        before = np.searchsorted(among, places - reach)
-        after = np.searchsorted(among, places + reach, side="right")
-        places = places[after > before]
-    return places
+        self.items: list[tuple[int, int]] = []
+        for row, (item, prompt) in enumerate(items):
+            said = [numbers.setdefault(w, len(numbers)) for w in words(prompt)]
+            self.items.append((item, len(said)))
+            for j in range(len(said) - RUN + 1):
+                runs.setdefault(tuple(said[j : j + RUN]), []).append((row, j))
+        self.words = list(numbers)
+        self.runs = np.array(list(runs), np.int32).reshape(-1, RUN)
+        self.uses = list(runs.values())
+
+
+class Shard:
+    """The postings of a shard for the words of some queries, by their numbers."""
+
+    def __init__(self, asked: Queries, vocabulary: pa.Array, ends: np.ndarray, places: np.ndarray) -> None:
+        number = pc.index_in(vocabulary, value_set=pa.array(asked.words, pa.string())).fill_null(-1).to_numpy().astype(np.int64)
+        counts = np.diff(ends, prepend=0)
+        self.count = np.zeros(len(asked.words), np.int64)
+        self.first = np.zeros(len(asked.words), np.int64)
+        known = number >= 0
+        self.count[number[known]] = counts[known]
+        self.first[number[known]] = (ends - counts)[known]
+        self.places = places
+        # The number of the word at each place, so that a list is asked for a place at once; a border on either side.
+        self.margin = GAP
+        self.at = np.full((int(places.max()) + 1 if len(places) else 0) + 2 * GAP, -1, np.int32)
+        here = np.repeat(known, counts)
+        self.at[places[here] + GAP] = np.repeat(number, counts)[here]
+
+    def rarest(self, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of ``runs`` whose words the shard holds: their numbers, the places of the rarest word of each, and the order of words.
+
+        Comes in portions of about AT_ONCE places; a longer list is cut.
+        """
+        frequency = self.count[runs]
+        present = np.flatnonzero(frequency.min(axis=1, initial=1) > 0)
+        if not len(present):
+            return
+        order = np.argsort(frequency[present], axis=1, kind="stable")
+        lead = runs[present, order[:, 0]]
+        size, first = self.count[lead], self.first[lead]
+        upto = np.cumsum(size)
+        for low in range(0, int(upto[-1]), AT_ONCE):
+            flat = np.arange(low, min(low + AT_ONCE, int(upto[-1])))
+            which = np.searchsorted(upto, flat, side="right")
+            yield present[which], self.places[first[which] + flat - (upto[which] - size[which])], order[which]
+
+    def exact(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of runs, and places at which all their words stand in succession."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for run, place, order in self.rarest(runs):
+            start = place.astype(np.int64) - order[:, 0]
+            for k in range(1, runs.shape[1]):
+                offset = order[:, k]
+                fits = start + offset + self.margin >= 0
+                fits &= self.at[np.clip(start + offset + self.margin, 0, len(self.at) - 1)] == runs[run, offset]
+                run, start, order = run[fits], start[fits], order[fits]
+            out.append((run, start))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def near(self, runs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of runs, and places of their rarest word, where one window of so many words holds all words of the run."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        reach = np.arange(1 - window, window)
+        for run, place, order in self.rarest(runs):
+            # Which windows, by their first word, hold what has been sought so far: the rarest word itself first.
+            open_ = np.ones((len(run), window), bool)
+            for k in range(1, runs.shape[1]):
+                sought = runs[run, order[:, k]]
+                met = self.at[place[:, None] + (reach + self.margin)[None, :]] == sought[:, None]
+                seen = np.cumsum(met, axis=1, dtype=np.int16)
+                seen = np.concatenate([np.zeros((len(run), 1), np.int16), seen], axis=1)
+                open_ &= seen[:, window:] > seen[:, :window]
+                fits = open_.any(axis=1)
+                run, place, order, open_ = run[fits], place[fits], order[fits], open_[fits]
+            out.append((run, place.astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
 
 RESULT_SCHEMA = "doc_id bigint, item_id bigint, covered int, near int, length int"
+_RESULT_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int32()), ("near", pa.int32()), ("length", pa.int32())]
+)
+
+
+def _covered(asked: Queries, begins: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> dict[tuple[int, int], set[int]]:
+    """The words of each item that hits cover in each document."""
+    out: dict[tuple[int, int], set[int]] = {}
+    if len(hits[0]):
+        doc = np.searchsorted(begins, hits[1], side="right") - 1
+        for d, r in np.unique(np.stack([doc, hits[0]]), axis=1).T.tolist():
+            for row, j in asked.uses[r]:
+                out.setdefault((d, row), set()).update(range(j, j + RUN))
+    return out
 
 
 def search(index: DataFrame, queries: Queries, slop: int | None = None) -> DataFrame:
     """Documents and test items that share a run of RUN words: RESULT_SCHEMA.
 
     ``covered`` counts the words of the item in runs of RUN or more that stand in the document in
-    succession, ``length`` all of its words. With ``slop``, ``near`` counts those in runs whose terms all
-    stand near each other in any order, and pairs with such runs alone come too; else it is null. The
-    index is grouped by shard first, so a stored index can be searched as well. Items of fewer than RUN
-    words match nothing. The queries are sent to all tasks; ``leaks`` bounds their size.
+    succession, ``length`` all of its words. With ``slop``, ``near`` counts those in runs all of whose words
+    stand in one window of RUN + slop words in any order, and pairs with such runs alone come too; else it is
+    null. A shard is searched where it lies, fresh or stored. Items of fewer than RUN words match nothing. The
+    queries are sent to all tasks; ``item_blocks`` bounds their size.
     """
-    asked = index.sparkSession.sparkContext.broadcast(queries)
+    if slop is not None and RUN + slop > GAP:
+        raise ValueError(f"slop must be at most {GAP - RUN}")
+    sent = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, lengths = asked.value.runs, asked.value.lengths
-        names = ["doc_id", "item_id", "covered", "near", "length"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-
-        def found(postings: dict[int, np.ndarray], docs: np.ndarray) -> pa.RecordBatch:
-            starts = postings.pop(DIRECTORY)
-            have = postings.keys()
-            exact: dict[tuple[int, int], set[int]] = {}
-            loose: dict[tuple[int, int], set[int]] = {}
-            for terms, uses in runs:
-                if not all(t in have for t in terms):
-                    continue
-                kept = [(phrase(postings, terms), exact)]
-                if slop is not None:
-                    kept.append((near(postings, terms, slop), loose))
-                for places, into in kept:
-                    if len(places):
-                        for doc in np.unique(np.searchsorted(starts, places, side="right") - 1).tolist():
-                            for item, j in uses:
-                                into.setdefault((doc, item), set()).update(range(j, j + RUN))
-            rows = [
-                (int(docs[d]), item, len(exact.get((d, item), ())), None if slop is None else len(loose.get((d, item), ())), lengths[item])
-                for d, item in sorted(exact.keys() | loose.keys())
-            ]
-            columns = list(zip(*rows)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-        shard, postings, docs = None, {}, None
+        asked = sent.value
         for batch in batches:
-            places, listed = batch.column(2), batch.column(3)
-            for i, (s, term) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if s != shard:
-                    if postings:
-                        yield found(postings, docs)
-                    shard, postings = s, {}
-                # Copies, so that no list keeps its batch in memory.
-                postings[term] = places[i].values.to_numpy(zero_copy_only=False).copy()
-                if term == DIRECTORY:
-                    docs = listed[i].values.to_numpy(zero_copy_only=False).copy()
-        if postings:
-            yield found(postings, docs)
-
-    by_shard = index.repartition("shard").sortWithinPartitions("shard", "term")
-    return by_shard.mapInArrow(run, RESULT_SCHEMA)
-
-
-def item_blocks(items: DataFrame, id_column: str, prompt_column: str) -> list[Queries]:
-    """Test items in blocks of about BLOCK_CHARS characters; items without id are left out."""
+            for i in range(batch.num_rows):
+                docs, begins, vocabulary, ends, places = (c[i].values for c in batch.columns)
+                begins = begins.to_numpy()
+                shard = Shard(asked, vocabulary, ends.to_numpy().astype(np.int64), places.to_numpy())
+                exact = _covered(asked, begins, shard.exact(asked.runs))
+                loose = _covered(asked, begins, shard.near(asked.runs, RUN + slop)) if slop is not None else {}
+                rows = [
+                    (docs[d].as_py(), asked.items[row][0], len(exact.get((d, row), ())),
+                     None if slop is None else len(loose.get((d, row), ())), asked.items[row][1])
+                    for d, row in sorted(exact.keys() | loose.keys())
+                ]
+                columns = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESULT_ARROW)], schema=_RESULT_ARROW)
+
+    return index.mapInArrow(run, RESULT_SCHEMA)
+
+
+def item_blocks(items: DataFrame, id_column: str, prompt_column: str) -> Iterator[Queries]:
+    """Test items in blocks of about BLOCK_CHARS characters, one in memory at a time; those without id are left out."""
     kept = items.select(F.col(id_column).cast("bigint").alias("i"), F.col(prompt_column).alias("p")).filter("i is not null")
     size = kept.agg(F.sum(F.length("p"))).first()[0] or 0
     n = int(size // BLOCK_CHARS) + 1
-    parts = (kept.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b) for b in range(n))
-    return [Queries([(r.i, r.p) for r in part.collect()]) for part in parts]
+    for b in range(n):
+        part = kept.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b) if n > 1 else kept
+        yield Queries([(r.i, r.p) for r in part.collect()])
+
+
+def search_all(index: DataFrame, items: DataFrame, item_column: str, prompt_column: str, slop: int | None = None) -> DataFrame:
+    """``search`` of all items in a stored index. Of several blocks each is searched, and its result kept, before the next."""
+    out, blocks = None, item_blocks(items, item_column, prompt_column)
+    block, following = next(blocks), next(blocks, None)
+    while True:
+        part = search(index, block, slop)
+        if out is None and following is None:
+            return part
+        part = cut(part)
+        out = part if out is None else out.unionByName(part)
+        if following is None:
+            return out
+        block, following = following, next(blocks, None)
 
 
 def matches(
     docs: DataFrame, id_column: str, text_column: str, items: DataFrame, item_column: str, prompt_column: str,
     slop: int | None = None,
 ) -> DataFrame:
-    """``search`` of all items over the index of all documents, in blocks of items of bounded size.
+    """``search_all`` over the index of all documents, which is built and stored once.
 
     Documents and items that occur repeatedly under one id are matched each; empty tables give no row.
     """
-    out = None
-    for block in item_blocks(items, item_column, prompt_column):
-        part = search(build_index(docs, id_column, text_column, block.terms), block, slop)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return search_all(stored(build_index(docs, id_column, text_column)), items, item_column, prompt_column, slop)
 
 
 def leaks(found: DataFrame) -> DataFrame:
