@@ -125,7 +125,7 @@ _SEAM = ["entity", "field", "slice", "recorded", "after"]
 def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the last interval of each slice ends from which recorded time on.
 
-    Of first starts (entity, field, recorded, valid, slice), in order of the first three. Holds the known slices
+    Of first starts (entity, field, recorded, valid, slice, value), in order of the first three. Holds the known slices
     of one field of one entity and the first start of each.
     """
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -137,7 +137,7 @@ def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             column.append(x)
 
     for batch in batches:
-        for entity, field, recorded, valid, part in zip(*(c.to_pylist() for c in batch.columns)):
+        for entity, field, recorded, valid, part, _ in zip(*(c.to_pylist() for c in batch.columns)):
             if group != (entity, field):
                 group, slices, first = (entity, field), [], {}
             i = bisect_left(slices, part)
@@ -167,14 +167,19 @@ def ledger(
     observations add nothing; an unchanged value at another instant begins an interval, as a late one may come
     between. An empty table gives no row.
     """
-    told = observations.select(
+    names = [f"f{i}" for i in range(len(fields))]
+    seen = observations.select(
         F.col(entity).cast("string").alias("entity"), F.col(valid_us).cast("bigint").alias("valid"),
         F.col(recorded_us).cast("bigint").alias("recorded"), F.col(order).cast("bigint").alias("seq"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x"),
-    ).select("entity", "x.field", F.floor(F.col("valid") / slice_us).alias("slice"), "recorded", "valid", "x.value", "seq")
+        *[F.col(f).cast("string").alias(n) for f, n in zip(fields, names)],
+    ).dropna(subset=["entity", "valid", "recorded"])
     group = ["entity", "field", "slice"]
-    # All that follows keeps to one exchange of the observations where the planner sees that it can.
-    told = told.dropna(subset=["entity", "valid", "recorded", "value"]).repartition(*group)
+    # The one exchange of the observations; fields are told apart behind it, so that both uses below share it.
+    seen = seen.withColumn("slice", F.floor(F.col("valid") / slice_us)).repartition("entity", "slice")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(n).alias("value")) for f, n in zip(fields, names)]))
+    told = seen.select("entity", "slice", "recorded", "valid", "seq", each.alias("x")).select(
+        "entity", "x.field", "slice", "recorded", "valid", "x.value", "seq"
+    ).filter("value is not null")
     told = told.groupBy(*group, "recorded", "valid").agg(F.max(F.struct("seq", "value")).alias("x")).select(
         *group, "recorded", "valid", "x.value"
     )
@@ -182,7 +187,8 @@ def ledger(
     firsts = told.withColumn("_least", F.min("valid").over(before)).filter("_least is null or valid < _least")
     # The greater slice first, so that each tells where the one before it ends.
     firsts = firsts.repartition("entity", "field").sortWithinPartitions("entity", "field", "recorded", F.col("slice").desc(), F.col("valid").desc())
-    seams = firsts.select("entity", "field", "recorded", "valid", "slice").mapInArrow(
+    # With the value, which the seams need not: else its columns would be pruned here and the exchange not shared.
+    seams = firsts.select("entity", "field", "recorded", "valid", "slice", "value").mapInArrow(
         _seams, "entity string, field string, slice bigint, recorded bigint, after bigint"
     )
     none = F.lit(None)
