@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
@@ -25,12 +27,14 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and stored tables.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of
-    this machine is made and set.
+    Taken from ``spark.checkpoint.dir``; only where that is unset and the session runs on this machine alone
+    (tests) a folder of this machine is made and set. On a cluster an unset one raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="millrace-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -35,9 +37,29 @@ def append(df: DataFrame, path: str, declared: T.StructType | None = None, parti
 
 
 def overwrite(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replaces a Parquet table. ``df`` must not read from ``path``."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    """Replaces a Parquet table; ``df`` may read from it.
+
+    The new table is written beside the old one, which is moved aside only then. If the second move fails the
+    old one is moved back.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    place, fs = _folder(spark, path)
+    beside, aside = (spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{kind}-{mark}") for kind in ("new", "old"))
+    writer = df.write
+    try:
+        (writer.partitionBy(partition) if partition else writer).parquet(beside.toString())
+    except Exception:
+        fs.delete(beside, True)
+        raise
+    held = fs.exists(place)
+    if held and not fs.rename(place, aside):
+        raise OSError(f"{path} can not be moved aside")
+    if not fs.rename(beside, place):
+        if held:
+            fs.rename(aside, place)
+        raise OSError(f"{path} can not be replaced")
+    if held:
+        fs.delete(aside, True)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

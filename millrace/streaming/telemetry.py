@@ -48,7 +48,8 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", lateness: str = "
 def conform_into(events: DataFrame, state: StateTable, checkpoint: str) -> StreamingQuery:
     """Keeps the latest delivery of every event in ``state``, batch by batch, last write wins.
 
-    A batch that runs again after a failure changes nothing, as it is an upsert of the same rows.
+    A batch that runs again after a failure changes nothing, as it is an upsert of the same rows. Only the
+    buckets of ``state`` that hold the batch's events are read and written, if it has ``event_id`` as its key.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
@@ -58,6 +59,9 @@ def conform_into(events: DataFrame, state: StateTable, checkpoint: str) -> Strea
             best = models.conformed_events(touched.unionByName(batch.select(*old.columns)))
             return upsert(old, best.select(*old.columns), ["event_id"])
 
-        state.change(make)
+        if state.keys == ["event_id"]:
+            state.change_keys(batch, make)
+        else:
+            state.change(make)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -125,6 +125,80 @@ def test_state_table(spark, tmp_path):
     assert delete(one, F.col("machine_id").like("M%")).count() == 1
 
 
+def test_a_broken_commit_leaves_the_version_before(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "s"), WATERMARK)
+    one = spark.createDataFrame([("M", "A", at(0))], WATERMARK)
+    table.commit(one, 0)
+    # A writer that ended between its marker's beginning and its place: the marker lies beside, half written.
+    (tmp_path / "s" / "_versions" / "_data-lost").write_text("")
+    assert table.version() == 1 and table.read().count() == 1
+    assert table.change(lambda s: s.unionByName(s)) == 2 and table.read().count() == 2
+    with pytest.raises(StaleVersion):
+        table.commit(one, 1)
+    assert table.read().count() == 2
+    table.commit(one, 2)
+    lost = tmp_path / "s" / "data-lost"
+    lost.mkdir()
+    assert "data-lost" not in table.vacuum() and set(table.vacuum(1, 0)) >= {"data-lost"}
+    assert table._versions() == [3] and table.read().count() == 1
+
+
+def test_a_change_rewrites_only_the_buckets_it_is_about(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "s"), WATERMARK, ["machine_id"], 8)
+    rows = [(f"M{i}", "A", at(i)) for i in range(40)]
+    table.commit(spark.createDataFrame(rows, WATERMARK), 0)
+    before = table._folders(1)
+    new = spark.createDataFrame([("M3", "A", at(99)), ("N", "A", at(1))], WATERMARK)
+    table.change_keys(new, lambda s: upsert(s, new, ["machine_id"]))
+    after = table._folders(2)
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(changed) <= 2 and len(before) > 4
+    got = {r.machine_id: r.last_processed_event_timestamp for r in table.read().collect()}
+    assert got == {f"M{i}": at(i) for i in range(40)} | {"M3": at(99), "N": at(1)}
+    assert table.change_keys(new.limit(0), lambda s: s) == 2
+    assert table.read(1).count() == 40
+
+
+def test_overwrite_may_read_what_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.overwrite(spark.range(3), path)
+    files.overwrite(files.read(spark, path).filter("id > 0"), path)
+    assert files.read(spark, path).count() == 2 and [p.name for p in tmp_path.iterdir() if p.name != "t"] == []
+    with pytest.raises(Exception):
+        files.overwrite(spark.range(3).selectExpr("raise_error('no') x"), path)
+    assert files.read(spark, path).count() == 2
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from millrace.session import checkpoint_dir
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Cluster)
+
+
+def test_entry_without_a_package_of_the_text_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n.startswith("millrace.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "regex", None)
+    assert "p1_found" in entry.queries() and "p6_ids" not in entry.queries()
+
+
 def test_seeds_appends_and_texts(spark, tmp_path):
     src = raw(spark)["raw_event_types"]
     files.write_csv(src, str(tmp_path / "csv"))
@@ -167,7 +241,7 @@ def test_checks(spark):
 def test_streams(spark, tmp_path):
     batch = lambda rows: events(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
     batch([{"event_id": "a", "event_timestamp": at(0), "status_value": "old"}, {"event_id": "a", "event_timestamp": at(0), "status_value": "new", "source_ingested_at": at(5)}, {"event_id": "x", "machine_id": None, "event_timestamp": at(0)}])
-    state = StateTable(spark, str(tmp_path / "state"), BRONZE["bronze_device_events"])
+    state = StateTable(spark, str(tmp_path / "state"), BRONZE["bronze_device_events"], ["event_id"], 4)
 
     def go():
         streams.conform_into(streams.landed(spark, str(tmp_path / "land")), state, str(tmp_path / "cp")).awaitTermination()
