@@ -7,6 +7,7 @@ silver models are built from bronze beside them.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -254,41 +255,108 @@ def columns_of_fact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dq_counts(spark: SparkSession, d: str) -> DataFrame:
-    """One row per check over landing and conformed tables with the number of failing rows."""
+    """One row per check over landing and conformed tables with the number of failing rows.
+
+    Checks of one table share a pass over it, and the fact is built once.
+    """
     b = {n: table(spark, d, n) for n in BRONZE}
-    fact, dim = table(spark, d, FACT), table(spark, d, DIM)
-    events = b["bronze_device_events"]
-    checks = {
-        "not_null machine_id": quality.not_null(events, "machine_id"),
-        "unique event_id": quality.unique(events, "event_id"),
-        "unique silver event_id": quality.unique(fact, "event_id"),
-        "accepted_values status_value": quality.accepted_values(table(spark, d, "machine_snapshots"), "status_value", STATUSES),
-        "accepted_values where": quality.accepted_values(events, "event_type_code", list(READINGS), F.col("product_count").isNotNull()),
-        "relationships machine_id": quality.relationships(events, "machine_id", b["bronze_machines"], "machine_id"),
-        "relationships event_type_code": quality.relationships(events, "event_type_code", b["bronze_event_types"], "event_type_code"),
-        "relationships error_code": quality.relationships(events, "error_code", b["bronze_error_codes"], "error_code"),
-        "unique_combination machine_id, _loaded_at": quality.unique_combination(b["bronze_machines"], ["machine_id", "_loaded_at"]),
-        "between temperature_c": quality.between(events, "temperature_c", 0, 200),
-        "between row_condition": quality.between(events, "product_count", 1, None, F.col("event_type_code") == "CYCLE_COMPLETE"),
-        "scd2_overlap": quality.scd2_overlap(dim),
-        "one_current": quality.one_current(dim),
-        "lost_events": quality.lost_events(events, _built_fact(spark, d)),
-        "older_copy_kept": quality.older_copy_kept(events, _built_fact(spark, d)),
-        "gap_missing": quality.gap_missing(frequency.event_frequency(fact, "day")),
+    fact, events, c = table(spark, d, FACT), b["bronze_device_events"], F.col
+    referring = quality.with_parents(events, {
+        "machine_id": (b["bronze_machines"], "machine_id"), "event_type_code": (b["bronze_event_types"], "event_type_code"),
+        "error_code": (b["bronze_error_codes"], "error_code"),
+    })
+    ids = quality.copies(events, _built_fact(spark, d))
+    parts = [
+        quality.tally(referring, {
+            "not_null machine_id": c("machine_id").isNull(),
+            "accepted_values where": c("product_count").isNotNull() & ~c("event_type_code").isin(*READINGS),
+            "relationships machine_id": c("_lost_machine_id"),
+            "relationships event_type_code": c("_lost_event_type_code"),
+            "relationships error_code": c("_lost_error_code"),
+            "between temperature_c": ~c("temperature_c").between(0, 200),
+            "between row_condition": (c("event_type_code") == "CYCLE_COMPLETE") & (c("product_count") < 1),
+        }),
+        quality.tally(ids, {
+            "unique event_id": (c("n") > 1) & c("event_id").isNotNull(),
+            "lost_events": (c("n_sound") > 0) & c("event_id").isNotNull() & c("kept").isNull(),
+            "older_copy_kept": c("kept") != c("newest"),
+        }),
+        quality.tally(fact.groupBy("event_id").agg(F.count("event_id").alias("n")), {"unique silver event_id": c("n") > 1}),
+        quality.tally(table(spark, d, "machine_snapshots"), {"accepted_values status_value": ~c("status_value").isin(*STATUSES)}),
+        quality.tally(
+            b["bronze_machines"].groupBy("machine_id", "_loaded_at").agg(F.count(F.lit(1)).alias("n")),
+            {"unique_combination machine_id, _loaded_at": c("n") > 1},
+        ),
+        quality.tally(quality.history_of(table(spark, d, DIM)), {"one_current": c("n_current") != 1}),
+        quality.history_of(table(spark, d, DIM)).agg(
+            F.lit("scd2_overlap").alias("check_name"), F.coalesce(F.sum("n_overlap"), F.lit(0)).alias("failures")
+        ),
+        quality.tally(frequency.event_frequency(fact, "day"), {"gap_missing": c("avg_seconds_between_events").isNull() & (c("event_count") > 1)}),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+#: Single checks of ``dq_counts`` by the name of their query: the failing rows themselves, and the SQL of them.
+def _dq_rows() -> dict:
+    t = table
+    dim = lambda s, d: t(s, d, DIM)
+    return {
+        "dq_not_null": (lambda s, d: quality.not_null(t(s, d, "bronze_device_events"), "machine_id"), "select * from bronze_device_events where machine_id is null"),
+        "dq_unique": (lambda s, d: quality.unique(t(s, d, "bronze_device_events"), "event_id"),
+                      "select event_id, count(*) n_records from bronze_device_events where event_id is not null group by 1 having count(*) > 1"),
+        "dq_accepted_values": (lambda s, d: quality.accepted_values(t(s, d, "machine_snapshots"), "status_value", STATUSES),
+                               f"select * from machine_snapshots where status_value not in ({_listed(STATUSES)})"),
+        "dq_relationships": (lambda s, d: quality.relationships(t(s, d, "bronze_device_events"), "error_code", t(s, d, "bronze_error_codes"), "error_code"),
+                             "select * from bronze_device_events where error_code is not null and error_code not in (select error_code from bronze_error_codes)"),
+        "dq_unique_combination": (lambda s, d: quality.unique_combination(t(s, d, "bronze_machines"), ["machine_id", "_loaded_at"]),
+                                  "select machine_id, _loaded_at, count(*) n_records from bronze_machines group by 1, 2 having count(*) > 1"),
+        "dq_between": (lambda s, d: quality.between(t(s, d, "bronze_device_events"), "temperature_c", 0, 200),
+                       "select * from bronze_device_events where temperature_c not between 0 and 200"),
+        "dq_scd2_overlap": (lambda s, d: quality.scd2_overlap(dim(s, d)), f"""select * from {DIM} b where exists (select 1 from {DIM} a
+            where a.machine_id = b.machine_id and a.machine_sk <> b.machine_sk and a.valid_from <= b.valid_from
+            and b.valid_from < coalesce(a.valid_to, timestamp '9999-12-31'))"""),
+        "dq_one_current": (lambda s, d: quality.one_current(dim(s, d)), f"""select machine_id, count(*) filter (where is_current) current_versions
+            from {DIM} group by 1 having count(*) filter (where is_current) <> 1"""),
+        "dq_latest_copy_kept": (
+            # Held against the first copies, so that there are failures to find.
+            lambda s, d: quality.older_copy_kept(t(s, d, "bronze_device_events"), _first_copies(s, d)),
+            """with b as (select event_id, max(source_ingested_at) newest, min(source_ingested_at) source_ingested_at from bronze_device_events
+            where machine_id is not null group by 1) select event_id, source_ingested_at from b where source_ingested_at <> newest""",
+        ),
+        "event_value_coalesce": (
+            lambda s, d: t(s, d, FACT).select("event_id", F.coalesce("event_value", F.lit(0.0)).alias("event_value")),
+            f"select event_id, coalesce(event_value, 0.0)::double event_value from {FACT}",
+        ),
+        "as_of_orders": (_as_of_orders, """with v as (
+            select o_custkey, o_orderstatus, o_orderdate::timestamp valid_from,
+              lead(o_orderdate::timestamp) over (partition by o_custkey order by o_orderdate) valid_to from (
+              select *, row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) k from orders) where k = 1)
+            select event_id, user_id o_custkey, ts, o_orderstatus, valid_from, valid_to from events e left join v
+            on v.o_custkey = e.user_id and e.ts >= valid_from and (valid_to is null or e.ts < valid_to)"""),
     }
-    out = None
-    for name, failures in checks.items():
-        part = failures.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("failures"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("check_name", "failures")
+
+
+def _first_copies(spark: SparkSession, d: str) -> DataFrame:
+    sound = table(spark, d, "bronze_device_events").filter("machine_id is not null")
+    return sound.groupBy("event_id").agg(F.min("source_ingested_at").alias("source_ingested_at"))
+
+
+def _as_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Every event of a user with the status of the user's latest order at its instant."""
+    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return intervals.as_of(events, order_status_versions(spark, d), ["o_custkey"], "ts", "valid_from", "valid_to")
 
 
 def dq_metrics(spark: SparkSession, d: str) -> DataFrame:
     return quality.metrics(table(spark, d, "bronze_device_events"), "event_id", "machine_id")
 
 
+def _listed(values: list[str]) -> str:
+    return ", ".join(f"'{x}'" for x in values)
+
+
 def _dq_sql() -> str:
-    listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    listed = _listed
     fk = lambda c, p: f"from bronze_device_events where {c} is not null and {c} not in (select {c} from {p})"
     parts = {
         "not_null machine_id": "from bronze_device_events where machine_id is null",
@@ -390,7 +458,7 @@ def queries() -> dict:
     for grain in ("minute", "hour", "day"):
         q[f"freq_{grain}"] = _frequency_query(grain)
         q[f"freq_{grain}_incremental"] = _frequency_query(grain, True)
-    return q
+    return q | {name: query for name, (query, _) in _dq_rows().items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -505,6 +573,10 @@ def oracle_sql() -> dict[str, str]:
             (select count(*) from {FACT}) n_total from {FACT} group by 1""",
         "status_seconds": f"""select status_value, sum(s)::bigint total_seconds from (
             select status_value, date_diff('second', valid_from, valid_to) s from {DIM}) group by 1""",
+        # The types' names differ between the two: those of this table are translated.
+        "columns_of_fact": f"""select column_name, case data_type when 'VARCHAR' then 'string' when 'BIGINT' then 'bigint'
+            when 'DOUBLE' then 'double' when 'DATE' then 'date' when 'TIMESTAMP' then 'timestamp_ntz' else data_type end data_type,
+            ordinal_position::bigint ordinal_position from information_schema.columns where table_name = '{FACT}'""",
         "dq_counts": _dq_sql(),
         "dq_metrics": """select sum(n)::bigint row_count, count(*) filter (where n > 1 and event_id is not null) duplicate_count,
             sum(m)::bigint missing_count from (select event_id, count(*) n, count(*) filter (where machine_id is null) m
@@ -522,4 +594,4 @@ def oracle_sql() -> dict[str, str]:
     for grain in ("minute", "hour", "day"):
         o[f"freq_{grain}"] = _frequency_sql(grain)
         o[f"freq_{grain}_incremental"] = _frequency_sql(grain, True)
-    return o
+    return o | {name: sql for name, (_, sql) in _dq_rows().items()}

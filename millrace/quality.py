@@ -94,6 +94,45 @@ def metrics(df: DataFrame, duplicate_of: str, missing_in: str) -> DataFrame:
     )
 
 
+def tally(df: DataFrame, verdicts: dict[str, Column]) -> DataFrame:
+    """check_name and failures: for each verdict the number of rows for which it holds, all in one pass."""
+    counted = df.agg(*[F.count(F.when(v, 1)).alias(f"n{i}") for i, v in enumerate(verdicts.values())])
+    rows = [F.struct(F.lit(name).alias("check_name"), F.col(f"n{i}").alias("failures")) for i, name in enumerate(verdicts)]
+    return counted.select(F.explode(F.array(*rows)).alias("x")).select("x.check_name", "x.failures")
+
+
+def with_parents(df: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``df`` with ``_lost_<column>`` for each column that refers to a field of a parent: it is given and the parent lacks it.
+
+    As ``relationships``, for several columns in one pass over ``df``.
+    """
+    for column, (parent, field) in references.items():
+        keys = parent.select(F.col(field).alias("_parent")).dropna().distinct()
+        met = df.join(keys, F.col(column) == F.col("_parent"), "left")
+        df = met.withColumn(f"_lost_{column}", F.col(column).isNotNull() & F.col("_parent").isNull()).drop("_parent")
+    return df
+
+
+def copies(bronze: DataFrame, silver: DataFrame) -> DataFrame:
+    """One row per identifier of the landing table: its copies ``n``, sound ones, the latest of those, and the fact's instant."""
+    sound = F.col("machine_id").isNotNull()
+    per_id = bronze.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(sound, 1)).alias("n_sound"),
+        F.max(F.when(sound, F.col("source_ingested_at"))).alias("newest"),
+    )
+    return per_id.join(silver.select("event_id", F.col("source_ingested_at").alias("kept")), "event_id", "left")
+
+
+def history_of(dim: DataFrame, key: str = "machine_id") -> DataFrame:
+    """One row per key of a history: overlapping versions (as ``scd2_overlap``) and current ones, from one window."""
+    order = Window.partitionBy(key).orderBy("valid_from", "machine_sk").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.coalesce(F.col("valid_to"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
+    marked = dim.withColumn("_ended", F.max(end).over(order))
+    return marked.groupBy(key).agg(
+        F.count(F.when(F.col("valid_from") < F.col("_ended"), 1)).alias("n_overlap"), F.count(F.when(F.col("is_current"), 1)).alias("n_current")
+    )
+
+
 @dataclass(frozen=True)
 class Check:
     """A named query on a table whose rows are failures.
