@@ -154,7 +154,13 @@ class Context:
         """Folder of a table: in its namespace, or where it lies already beside the namespaces, or is no model."""
         model = (self.registry or telemetry).models.get(name)
         beside = f"{self.root}/{name}"
-        return beside if model is None or files.exists(self.spark, beside) else f"{self.root}/{model.namespace}/{name}"
+        namespace = model.namespace if model else NAMESPACES["raw"] if name in files.RAW else None
+        return beside if namespace is None or files.exists(self.spark, beside) else f"{self.root}/{namespace}/{name}"
+
+    def raw_tables(self) -> dict[str, DataFrame]:
+        """The raw tables that are given, or else stored by ``seed``."""
+        stored = [n for n in files.RAW if n not in self.raw and files.exists(self.spark, self.path(n))]
+        return self.raw | {n: self.spark.read.parquet(self.path(n)) for n in stored}
 
     def tables(self) -> DataFrame:
         """Namespace and name of each table that is stored."""
@@ -219,17 +225,32 @@ def run(
 ) -> list[Outcome]:
     """Builds the selected models in order, each followed by its checks; up to ``threads`` at a time.
 
-    What depends on a model that broke off or failed a check is skipped.
+    With ``test``, the raw tables that selected models read are checked before anything is built. What depends on
+    a raw table or model that broke off or failed a check is skipped.
     """
     ctx.registry = ctx.registry or registry
     order = registry.order(registry.select(select, previous))
     done: dict[str, Outcome] = {}
+    asked = {d for n in order for d in registry.models[n].deps} if test else set()
+    results = test_sources(ctx, asked) if asked & set(SOURCE_CHECKS) else []
+    sources = [
+        Outcome(n, "FAIL" if quality.exit_code(own) else "PASS", checks=tuple(own))
+        for n in dict.fromkeys(r.table for r in results) for own in [[r for r in results if r.table == n]]
+    ]
+    unsound = {o.model for o in sources if o.status != "PASS"}
     with ThreadPoolExecutor(threads) as pool:
         while len(done) < len(order):
             ready = [n for n in order if n not in done and all(d in done or d not in order for d in registry.models[n].deps)]
-            bad = {n for n, o in done.items() if o.status != "PASS"}
+            bad = unsound | {n for n, o in done.items() if o.status != "PASS"}
             done |= zip(ready, pool.map(lambda n: _one(registry, ctx, n, bad, test), ready))
-    return [done[n] for n in order]
+    return [*sources, *(done[n] for n in order)]
+
+
+def seed(ctx: Context) -> list[str]:
+    """Stores the given raw tables, so that later runs read them without parsing them again; returns their names."""
+    for name, df in ctx.raw.items():
+        files.overwrite(df, ctx.path(name))
+    return list(ctx.raw)
 
 
 def _one(registry: Registry, ctx: Context, name: str, bad: set[str], test: bool) -> Outcome:
@@ -282,10 +303,13 @@ SOURCE_CHECKS = {
 }
 
 
-def test_sources(ctx: Context) -> list[quality.Result]:
-    """The checks of the raw tables that are given."""
-    checks = [c for name, spec in SOURCE_CHECKS.items() if name in ctx.raw for c in quality.parse(name, spec)]
-    return quality.run(checks, ctx.raw)
+def test_sources(ctx: Context, names: set[str] | None = None) -> list[quality.Result]:
+    """The checks of the raw tables that are given or stored; of ``names`` only, if given."""
+    raw = ctx.raw_tables()
+    checks = [
+        c for name, spec in SOURCE_CHECKS.items() if name in raw and (names is None or name in names) for c in quality.parse(name, spec)
+    ]
+    return quality.run(checks, raw)
 
 
 def scan(ctx: Context, first_day: dt.date, last_day: dt.date) -> list[quality.Result]:

@@ -21,14 +21,47 @@ def _schema(text: str) -> T.StructType:
 
 
 COMMENTS = {
+    "event_id": "Identifier that the device gave the event; the same for every delivery of it",
+    "machine_id": "Machine that sent the event, or that the row is about",
+    "machine_type": "Kind of machine",
+    "event_type_code": "Kind of event",
     "event_timestamp": "Instant of the event on the device, UTC",
+    "event_date": "Day of the event",
+    "status_value": "Status that the machine went to",
+    "temperature_c": "Temperature in degrees Celsius, of temperature readings",
+    "speed_units_per_min": "Speed in units a minute, of speed readings",
+    "vibration_mm_s": "Vibration in millimetres a second, of vibration readings",
+    "product_count": "Products made, of counts and completed cycles",
+    "cycle_duration_seconds": "Length of a completed cycle in seconds",
+    "error_code": "Code of the fault that was raised or resolved",
     "source_ingested_at": "Instant at which the source received the event; later for a repeated delivery",
     "load_date": "Batch that brought the row; not always the day of the event",
     "_loaded_at": "Instant at which the row was landed",
+    "model_name": "Model of the machine; in the state tables, the model that the row belongs to",
+    "manufacturer": "Maker of the machine",
+    "plant_location": "Plant in which the machine stands",
+    "plant_country": "Country of the plant",
+    "install_date": "Day on which the machine was installed",
+    "rated_capacity": "Capacity that the maker names",
+    "capacity_unit": "Unit of the rated capacity",
+    "initial_firmware_version": "Firmware that the machine was delivered with",
+    "event_category": "Group of kinds of events",
+    "description": "What the code means",
+    "has_numeric_payload": "Whether events of this kind carry a number",
+    "severity": "How grave the fault is",
+    "requires_maintenance": "Whether the fault calls for maintenance",
     "valid_from": "Begin of the version, included",
     "valid_to": "End of the version, excluded; null while it is in force",
     "event_value": "The reading that the event's type stands for",
     "last_processed_event_timestamp": "High-water mark: later events are new",
+    "kpi_code": "Figure that the combination counts towards",
+    "batch_run_id": "Run that wrote the row",
+    "row_count": "Rows of the run's output",
+    "distinct_machine_count": "Machines in the run's output",
+    "distinct_event_count": "Kinds of events in the run's output",
+    "duration_seconds": "Whole seconds that the run took",
+    "run_started_at": "Begin of the run",
+    "run_completed_at": "End of the run",
 }
 
 _EVENT = (

@@ -107,6 +107,42 @@ def test_a_failed_check_or_error_skips_what_depends_on_it(spark, tmp_path):
     assert got == {"few": "FAIL", "below": "SKIP", "broken": "ERROR", "alone": "PASS"}
 
 
+def test_unsound_raw_tables_stop_what_reads_them(spark, tmp_path):
+    given = raw(spark)
+    given["raw_machines"] = given["raw_machines"].unionByName(given["raw_machines"])
+    ctx = Context(spark, str(tmp_path), given, started=at(0))
+    got = {o.model: o.status for o in run(telemetry, ctx, "bronze.*")}
+    assert got["raw_machines"] == "FAIL" and got["bronze_machines"] == "SKIP"
+    assert got["raw_event_types"] == got["bronze_event_types"] == "PASS"
+    assert [o.model for o in run(telemetry, ctx, "bronze_machines", test=False)] == ["bronze_machines"]
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from millrace import __main__ as command
+
+    monkeypatch.setattr(command, "build_session", lambda _: spark)
+    for name, df in raw(spark).items():
+        files.write_csv(df, str(tmp_path / "seeds" / f"{name}.csv"))
+    root = ["--root", str(tmp_path / "w")]
+    assert command.main(["seed", *root, "--seeds", str(tmp_path / "seeds")]) == 0
+    assert (tmp_path / "w" / "raw" / "raw_machines").is_dir() and "raw_machines" in capsys.readouterr().out
+    # Without --seeds the stored tables are read, and checked.
+    assert command.main(["build", *root, "--select", "+silver_fact_device_events+ bronze_error_codes"]) == 0
+    assert "PASS raw_device_events" in capsys.readouterr().out
+    day = str(T0.date())
+    assert command.main(["scan", *root, "--from", day, "--to", day]) == 0
+    assert command.main(["scan", *root, "--from", "2001-01-01", "--to", "2001-01-02"]) == 1
+    with pytest.raises(SystemExit):
+        command.main(["scan", *root])
+
+
+def test_every_column_has_a_comment():
+    from millrace import schemas
+
+    for schema in [*RAW.values(), *BRONZE.values(), WATERMARK, schemas.KPI_MAPPING, schemas.BATCH_LOG]:
+        assert all(f.metadata.get("comment") for f in schema)
+
+
 def test_state_table(spark, tmp_path):
     table = StateTable(spark, str(tmp_path / "s"), WATERMARK)
     assert table.version() == 0 and table.read().count() == 0
