@@ -46,9 +46,11 @@ def _bucket() -> Column:
 
 
 def _bitmaps(repeated: DataFrame) -> DataFrame:
-    """At most BUCKETS rows with the bits of the repeated identifiers."""
+    """BUCKETS rows, whatever the data, with the bits of the repeated identifiers, and the first of each bitmap."""
+    every = repeated.sparkSession.range(1, BUCKETS + 1).select(F.col("id").alias("_msg_bucket"), F.lit(0).cast("bigint").alias("_at"))
+    placed = repeated.select(_bucket().alias("_msg_bucket"), F.bitmap_bit_position(_place()).alias("_at")).unionByName(every)
     # Only places move; bitmaps are made once each, where their places meet.
-    placed = repeated.select(_bucket().alias("_msg_bucket"), F.bitmap_bit_position(_place()).alias("_at")).repartition("_msg_bucket")
+    placed = placed.repartition("_msg_bucket")
     return placed.groupBy("_msg_bucket").agg(F.bitmap_construct_agg("_at").alias("_msg_bits"))
 
 
